@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["p01_formatting", "p03_markup", "p06_survivors", "p07_neighbours", "p08_tokens", "p09_packing", "p10_stuffing"]
+NAMES = ["p01_formatting", "p03_markup", "p05_scans", "p06_survivors", "p07_neighbours", "p08_tokens", "p09_packing", "p10_stuffing"]
 
 
 def modules() -> list:
