@@ -66,7 +66,8 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[list[str]], a
         return docs.select("key", F.lit(0.0).alias("score")).limit(0)
     found = docs.select("key", "n_terms", *[sum((w * _occurrences(f"{c}_terms", p) for c, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(phrases)], *[sum((_occurrences(f"{c}_terms", p) for c in weights), F.lit(0)).alias(f"o{i}") for i, p in enumerate(phrases)])
     stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("a"), *[F.count_if(F.col(f"o{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    j = found.crossJoin(F.broadcast(stats))  # one row
+    whole = stats.first()  # one row of the whole index; the scores below are constants away from it
+    j = found.withColumns({k: F.lit(v) for k, v in whole.asDict().items()})
     score = F.lit(0.0)
     for i in range(len(phrases)):
         idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
