@@ -154,3 +154,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+
+_S = lambda x: f"regexp_replace(replace(replace(nfc_normalize(lower(nfc_normalize(coalesce({x}, '')))), 'ß', 'ss'), 'ς', 'σ'), '[\\s\\p{{Z}}\\p{{P}}\\p{{C}}\\x{{2044}}]+', '', 'g')"
+_DOI = lambda x: _S(f"regexp_replace({x}, '^.*?(1\\s*0\\s*\\.)', '\\1', 's')")
+_PEOPLE = "array_to_string(list_transform(from_json(creators_json, '[{\"firstName\":\"VARCHAR\",\"lastName\":\"VARCHAR\"}]'), lambda p: " + _S("p.firstName") + " || '|' || " + _S("p.lastName") + "), ';')"
+_RECORDS = f"SELECT 'items' AS t, id, [{_S('title')}, {_DOI('doi')}, {_PEOPLE}, {_S('date_created')}] AS k FROM items"
+_KEYS = f"SELECT 'duplicate_groups' AS t, item_id AS id, list_prepend(match_method, list_sort(list_transform(string_split(coalesce(match_key, ''), '|'), lambda x: {_DOI('x')}))) AS k FROM duplicate_groups"
+SQL = {
+    "p1_found": f"WITH r AS (SELECT DISTINCT * FROM ({_RECORDS} UNION ALL {_KEYS})), g AS (SELECT *, min(id) OVER (PARTITION BY t, k) AS first_id FROM r) SELECT t AS source_table, first_id, id AS other_id FROM g WHERE id <> first_id",
+    "p1_classes": f"WITH r AS (SELECT DISTINCT * FROM ({_RECORDS})) SELECT min(id) AS record_id, count(*) AS n_copies FROM r GROUP BY k",
+}

@@ -95,7 +95,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, _, reps = _parts(spark, sf_dir)
     cells = filled(src, reps).groupBy("item_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "value"))))).alias("metadata"))
     fixed = reps.select("item_id", "sid").join(cells, "item_id", "left").withColumnRenamed("item_id", "id").withColumn("has", F.lit(True))
-    items = table(spark, sf_dir, "items").dropDuplicates(["id"])
+    items = table(spark, sf_dir, "items").select("id", "canonical_source_item_id", "metadata_json", "title", "item_type").dropDuplicates(["id"])
     has = F.coalesce("has", F.lit(False))
     return items.join(fixed, "id", "left").select("id", F.when(has, F.col("sid")).otherwise(F.col("canonical_source_item_id")).alias("canonical_source_item_id"), F.when(has, F.coalesce("metadata", F.lit("{}"))).otherwise(F.col("metadata_json")).alias("metadata_json"), "title", "item_type")
 
@@ -120,4 +120,7 @@ picked AS (
 QUERIES = {"p6_found": p6_found, "p6_skyline": p6_skyline, "p6_items": p6_items}
 SQL = {
     "p6_found": _BASE + "SELECT item_id, '*' AS field_name, sid AS source_item_id FROM rep JOIN many USING (item_id) UNION ALL SELECT item_id, field_name, sid FROM picked JOIN many USING (item_id)",
+    "p6_skyline": _BASE + f""", p AS (SELECT s.item_id, s.sid, trust, at_, (SELECT count(*) FROM cells c WHERE c.item_id = s.item_id AND c.sid = s.sid AND value IS NOT NULL AND {_REAL}) AS n FROM s)
+SELECT item_id, sid AS source_item_id, trust AS annotation_count, n AS n_real_fields FROM p WHERE NOT EXISTS (
+  SELECT 1 FROM p q WHERE q.item_id = p.item_id AND q.trust >= p.trust AND q.n >= p.n AND (coalesce(q.at_, TIMESTAMPTZ '9999-01-01'), q.sid) < (coalesce(p.at_, TIMESTAMPTZ '9999-01-01'), p.sid))""",
 }

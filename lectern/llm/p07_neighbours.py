@@ -157,3 +157,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_neighbours": p7_neighbours}
+SQL = {
+    "p7_found": """WITH c AS (SELECT DISTINCT ON (id) id, model, embedding::DOUBLE[] AS e FROM semantic_chunks WHERE len(embedding) = dimensions
+  AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS x, b.id AS y, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.id) AS rn FROM c a JOIN c b ON a.model = b.model AND a.id <> b.id)
+SELECT DISTINCT least(x, y) AS chunk_a, greatest(x, y) AS chunk_b FROM s WHERE rn <= 5""",
+}
