@@ -2,7 +2,8 @@
 
 A text is halved until a piece has at most LEAF characters; pieces are encoded on their own and neighbours joined up the tree. The
 tokenizer splits a text into pretokens from left to right, each match depending on what it takes and one character more, and encodes each
-pretoken alone. So of the left piece all pretokens but the last stand; from the start of the last one the text is split anew over a window that grows
+pretoken alone. So of the left piece all pretokens but the last stand (but the last two where they are an apostrophe and one letter, which may become a
+contraction); from there on the text is split anew over a window that grows
 into the right piece until a boundary falls on one the right piece has itself. From a common boundary on both splits are the same, so the tokens to either
 side of the window provably stand and only the window is encoded again. Decoding concatenates the pieces' bytes up the tree.
 
@@ -44,7 +45,7 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
 
 @dataclass
 class Piece:
-    """text[start:end] encoded; last is where its last pretoken starts."""
+    """text[start:end] encoded; what is before last stands whatever follows."""
 
     start: int
     end: int
@@ -52,12 +53,19 @@ class Piece:
     ids: list[int]
 
 
+def _unsettled(text: str, spans: list[tuple[int, int]]) -> int:
+    """Where the pretokens begin that may change with what follows: the last one, with an apostrophe before a single letter."""
+    a, z = spans[-1]
+    if len(spans) > 1 and z - a == 1 and text[spans[-2][0] : a] == "'":
+        return spans[-2][0]
+    return a
+
+
 def _last_pretoken(text: str, start: int, end: int) -> int:
-    """Start of the last pretoken of text[start:end], split from start on."""
-    last = start
+    two: list[tuple[int, int]] = [(start, start)]
     for m in PATTERN.finditer(text, start, end):
-        last = m.start()
-    return last
+        two = [*two[-1:], m.span()]
+    return _unsettled(text, two)
 
 
 def leaf(path: str, text: str, start: int, end: int) -> Piece:
@@ -75,7 +83,7 @@ def join(path: str, text: str, a: Piece, b: Piece) -> Piece:
         cut = lambda at: [m.span() for m in PATTERN.finditer(text, at, end)]
         new, own = cut(a.last), cut(b.start)
         if not whole:  # the last matches may go on beyond the window
-            new, own = new[:-1], own[:-1]
+            new, own = new[:-2], own[:-2]
         # Not behind white space: a run of it is split by what follows, which a window encoded alone would not show.
         common = {e for _, e in own} & {e for _, e in new if e > b.start and (e == b.end or not text[e - 1].isspace())}
         if common or whole:
@@ -83,7 +91,7 @@ def join(path: str, text: str, a: Piece, b: Piece) -> Piece:
         size *= 2
     sync = min(common) if common else b.end
     tail, middle, head = encode(path, [text[a.last : a.end], text[a.last : sync], text[b.start : sync]])
-    last = b.last if b.last >= sync else max(s for s, e in new if e <= sync)
+    last = b.last if b.last >= sync else _unsettled(text, [x for x in new if x[1] <= sync])
     return Piece(a.start, b.end, last, a.ids[: len(a.ids) - len(tail)] + middle + b.ids[len(head) :])
 
 
