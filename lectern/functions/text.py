@@ -281,7 +281,7 @@ def model_token(name: Column) -> Column:
 
 
 def note_id(path: Column) -> Column:
-    return F.sha1(path)
+    return F.sha1(F.lower(path))
 
 
 def section_id(note: Column, ordinal: Column, heading: Column) -> Column:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..session import table
+from ..session import spread, table
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -27,7 +27,7 @@ KIND_BOOST = {"annotation": -0.3, "embedded": -0.2, "note": -0.1}
 def index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row per document: key, an array of terms per column, and the length over all columns."""
     made = {f"{c}_terms": T.tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
-    out = df.select(F.col(key).alias("key"), *[e.alias(n) for n, e in made.items()])
+    out = spread(df.select(key, *columns)).select(F.col(key).alias("key"), *[e.alias(n) for n, e in made.items()])
     return out.withColumn("n_terms", sum((F.size(n) for n in made), F.lit(0)))
 
 
