@@ -13,19 +13,20 @@ keep it. The path of the vocabulary is a parameter; each Python worker loads it
 
 from __future__ import annotations
 
+import base64
 import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
-from ..session import table
+from ..session import spread, table
 
 TOKENIZERS = "/opt/tokenizers"
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 LEAF = 16_384
 WINDOW = 64
 # Fixed value: the published splitting pattern of the byte-level vocabulary.
@@ -33,14 +34,19 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 
 
 @functools.cache
-def tokenizer(path: str) -> Tokenizer:
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+@functools.cache
+def tokenizer(path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN.pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    t = tokenizer(path)
+    return [t.encode_ordinary(x) for x in texts]
 
 
 @dataclass
@@ -115,18 +121,9 @@ def encode_all(path: str, texts: list[str | None], size: int = LEAF) -> list[lis
     return out
 
 
-@functools.cache
-def _byte_of_symbol() -> dict[str, int]:
-    """The printable stand-ins byte-level vocabularies write bytes with: printable Latin-1 stands for itself, the rest for 256 on, in order."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @functools.cache
 def token_bytes(path: str) -> dict[int, bytes]:
-    of = _byte_of_symbol()
-    return {i: bytes(of[c] for c in t) for t, i in tokenizer(path).get_vocab().items() if all(c in of for c in t)}
+    return {i: t for t, i in ranks(path).items()}
 
 
 def decode_tree(path: str, ids: list[int]) -> bytes:
@@ -157,7 +154,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             for s in _batches(texts):
                 yield pd.DataFrame({"doc_id": f["doc_id"].iloc[s], "ids": encode_all(path, texts[s])})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()},ids array<int>")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()},ids array<int>")
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BYTE_BPE) -> DataFrame:
@@ -169,7 +166,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             n = [len(ids) for s in _batches(texts) for ids in encode_all(path, texts[s])]
             yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": n})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()},n_tokens bigint")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(run, f"doc_id {docs.schema[id_col].dataType.simpleString()},n_tokens bigint")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +184,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             ok = [decode_tree(BYTE_BPE, i) == (t or "").encode() for i, t in zip(ids, texts)]
             yield pd.DataFrame({"source": f["source"], "n_tokens": [len(i) for i in ids], "ok": ok})
 
-    rows = docs.mapInPandas(run, "source string,n_tokens bigint,ok boolean")
+    rows = spread(docs).mapInPandas(run, "source string,n_tokens bigint,ok boolean")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("ok").cast("long")).alias("n_exact"))
 
 
