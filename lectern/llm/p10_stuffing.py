@@ -12,6 +12,7 @@ every window counts, by its characters. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -19,9 +20,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import spread, table
 
 WINDOW = 200_000
+TOP = 0x32000
 MIN_WORDS = 6
 #: A repeated substring counts from so many symbols and characters on.
 MIN_SYMBOLS, MIN_CHARS = 2, 8
@@ -35,6 +37,8 @@ SYMBOL = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 LINK = re.compile(r"(?:https?://|www\.|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|info|biz|shop|site|online|[a-z]{2})/)\S*", re.I)
 TAG = re.compile(r"(?<![\w/])[#@]\w[\w-]*")
 PRICE = re.compile(r"\bSKU[-\s]?\d+|(?:EUR|USD|GBP|PLN|CHF|€|\$|£)\s?\d+(?:[.,]\d+)?|\d+(?:[.,]\d\d)?\s?(?:EUR|USD|GBP|PLN|zł|€|£)", re.I)
+#: What any price or product number holds.
+MONEY = re.compile("SKU|EUR|USD|GBP|PLN|CHF|zł|[€$£]", re.I)
 SENTENCE_END = re.compile(r"(?<=[.!?;…:])[\"'”»)\]]*\s+|\n\s*\n")
 #: Lines of reference lists, contents pages, indexes and tables, which have a structure of their own instead of clauses.
 APPARATUS = re.compile(r"^(?:\W*[^\W\d_][\w'’ -]*,[^\n]{0,80}?\((?:1[5-9]|20)\d\d[a-z]?\)[^\n]*|[^\n]*\.{3,}[ \t]*\d+[ \t]*|[^\n,]{2,60}(?:,[ \t]*\d+(?:[–-]\d+)?)+[ \t]*|[ \t]*(?:\{\||\|[-+}|]|[|!] )[^\n]*)$", re.M)
@@ -84,28 +88,37 @@ def repeated_cover(symbols: list) -> np.ndarray:
     return out
 
 
+@functools.cache
+def alphabet() -> np.ndarray:
+    """Whether a code point is a letter; the last entry stands for all beyond."""
+    return np.array([chr(c).isalpha() for c in range(TOP)], np.int64)
+
+
 def features(text: str) -> tuple[int, float, float, float, float]:
     """words; share of characters in clauses; coverage by repeats outside of clauses; share of link, tag and price characters outside; coverage of all."""
-    words = len(WORD.findall(text))
+    words = sum(1 for _ in WORD.finditer(text))
     if words < MIN_WORDS:
         return words, 1.0, 0.0, 0.0, 0.0
-    solid = np.array([c.isalpha() for c in text], np.int64)  # leader dots and numbers say nothing, repeated or not
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = alphabet()[np.minimum(codes, TOP - 1)]  # letters only: leader dots and numbers say nothing, repeated or not
     covered, clause, marked = (np.zeros(len(text) + 1, np.int64) for _ in range(3))
-    at = [(m.start(), m.end(), "0" if (s := m.group())[0].isdigit() else s.lower()) for m in SYMBOL.finditer(text)]
-    for w in range(0, len(at), WINDOW):
-        part = at[w : w + WINDOW]
-        n = repeated_cover([s for _, _, s in part])
-        for i, k in enumerate(n):
-            if k >= MIN_SYMBOLS:
-                a, b = part[i - k + 1][0], part[i][1]
-                if b - a >= MIN_CHARS:
-                    covered[a] += 1
-                    covered[b] -= 1
-    for rule in (LINK, TAG, PRICE):
-        for m in rule.finditer(text):
+    found = list(SYMBOL.finditer(text))
+    symbols = ["0" if s[0].isdigit() else s.lower() for s in (m.group() for m in found)]
+    ends = np.fromiter((m.end() for m in found), np.int64, len(found))
+    starts = np.fromiter((m.start() for m in found), np.int64, len(found))
+    for w in range(0, len(found), WINDOW):
+        n = repeated_cover(symbols[w : w + WINDOW])
+        i = np.flatnonzero(n >= MIN_SYMBOLS) + w
+        first, last = starts[i - n[i - w] + 1], ends[i]
+        long = last - first >= MIN_CHARS
+        np.add.at(covered, first[long], 1)
+        np.subtract.at(covered, last[long], 1)
+    for rule, needed in ((LINK, "/" in text or "www." in text.lower()), (TAG, "#" in text or "@" in text), (PRICE, MONEY.search(text))):
+        for m in rule.finditer(text) if needed else ():
             marked[m.start()] += 1
             marked[m.end()] -= 1
     is_covered = np.cumsum(covered)[:-1] > 0
+    share = np.concatenate([[0], np.cumsum(is_covered)]).tolist()
     for m in APPARATUS.finditer(text):
         clause[m.start()] += 1
         clause[m.end()] -= 1
@@ -117,7 +130,7 @@ def features(text: str) -> tuple[int, float, float, float, float]:
         if s.rstrip().endswith((".", "!", "?", ";", ":", "…", '"', "”", "»", ")", "'")):
             own = [x.lower() for x in WORD.findall(s)]
             phrases = sum(1 for x in PHRASE_END.split(s) if WORD.search(x))
-            sentences.append((begin, end, len(own), len(set(own)), phrases, is_covered[begin:end].mean()))
+            sentences.append((begin, end, len(own), len(set(own)), phrases, (share[end] - share[begin]) / max(1, end - begin)))
         begin = m.end() if m else end
     repeated = [n for _, _, n, _, _, c in sentences if n and c >= SHORT_COVERED]
     curt = bool(repeated) and sum(repeated) / len(repeated) < SHORT_MEAN
@@ -141,7 +154,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pd.DataFrame(rows, columns=["doc_id", "words", "clause", "covered", "marked", "covered_all"])
 
     d = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return d.mapInPandas(score, "doc_id bigint,words bigint,clause double,covered double,marked double,covered_all double")
+    return spread(d).mapInPandas(score, "doc_id bigint,words bigint,clause double,covered double,marked double,covered_all double")
 
 
 def is_stuffed():
