@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..skew import skew_join
 from . import foldhash as H
 
@@ -121,7 +121,7 @@ def copies(df: DataFrame, id_col: str, fields: tuple[Field, ...]) -> DataFrame:
             ok = [i == j or _same(a, b, fields) for i, j, a, b in rows]
             yield frame.assign(ok=ok)[["id", *names, "h1", "h2", "first_id", "ok"]]
 
-    rows = slim.mapInPandas(hashed, f"{schema},h1 bigint,h2 bigint")
+    rows = spread(slim).mapInPandas(hashed, f"{schema},h1 bigint,h2 bigint")
     # One row per id: identical re-deliveries collapse before anything is grouped by the hash.
     rows = rows.groupBy("id").agg(F.min(F.struct("h1", "h2", *names)).alias("r")).select("id", "r.*")
     rows = cut(rows)  # read three times below; hashing isn't repeated

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import lstm
 
 SYNTAXES = ("markdown", "html", "wiki", "latex")
@@ -371,7 +371,7 @@ def _applied(rows: DataFrame, schema: str, f) -> DataFrame:
         for frame in frames:
             yield f(frame, labelled(p, frame["body"].tolist()), low)
 
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
