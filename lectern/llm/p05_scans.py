@@ -347,10 +347,10 @@ def _broken(bodies: DataFrame, lexicon: DataFrame, compounds: DataFrame) -> Data
             yield pd.DataFrame(rows, columns=["source_table", "record_id", "a", "b"])
 
     found = bodies.mapInPandas(run, "source_table string,record_id bigint,a string,b string")
-    found = found.withColumn("joined", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b"))
+    found = cut(found.withColumn("joined", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b")))
     known = lexicon.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     comps = compounds.select(F.col("word").alias("hyphened"), F.col("n").alias("n_hyphened"))
-    j = found.join(comps, "hyphened", "left").join(known, "joined", "left")
+    j = skew_join(skew_join(found, comps, ["hyphened"], "left"), known, ["joined"], "left")
     # The joined form also counts the divided places themselves, so a compound must be written out more often than that.
     return j.select("source_table", "record_id", F.col("hyphened").alias("word"), (F.coalesce("n_hyphened", F.lit(0)) * 2 > F.coalesce("n_joined", F.lit(0))).alias("is_compound"))
 
@@ -372,8 +372,8 @@ def _suspects(bodies: DataFrame, candidates: DataFrame) -> DataFrame:
                 rows += [(t, i, w, ws[k - 1] if k else "", ws[k + 1] if k + 1 < len(ws) else "", o) for k, w in enumerate(ws) if (o := odd(w)) or likely[k]]
             yield pd.DataFrame(rows, columns=["source_table", "record_id", "word", "before", "after", "odd"]).drop_duplicates()
 
-    places = bodies.mapInPandas(run, "source_table string,record_id bigint,word string,before string,after string,odd boolean")
-    return places.join(wrong.select("word", F.lit(True).alias("known")), "word", "left").filter("known OR odd").drop("known")
+    places = cut(bodies.mapInPandas(run, "source_table string,record_id bigint,word string,before string,after string,odd boolean"))
+    return skew_join(places, wrong.select("word", F.lit(True).alias("known")), ["word"], "left").filter("known OR odd").drop("known")
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -396,7 +396,7 @@ def p5_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chosen(bodies: DataFrame, candidates: DataFrame, suspects: DataFrame) -> DataFrame:
-    open_ = cut(suspects.join(candidates, "word"))
+    open_ = cut(skew_join(suspects, candidates, ["word"]))
     pairs = open_.select(F.concat_ws(" ", "before", "printed").alias("pair")).unionByName(open_.select(F.concat_ws(" ", "printed", "after").alias("pair"))).distinct()
     wanted = cut(pairs.withColumn("h", F.xxhash64("pair")))
     shared = bodies.sparkSession.sparkContext.broadcast(bloom.build(wanted, "h", wanted.count()))

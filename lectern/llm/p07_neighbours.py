@@ -136,7 +136,7 @@ def neighbours(df: DataFrame, k: int = K) -> DataFrame:
     near = cut(node_neighbours(nodes))
     # Candidates of a node: at most NODES neighbours with at most k + 1 ids each.
     ids = groups.select(F.col("node").alias("other"), "ids")
-    near = near.join(ids, "other").select("node", F.explode("ids").alias("other_id"), "cos")
+    near = skew_join(near, ids, ["other"]).select("node", F.explode("ids").alias("other_id"), "cos")
     candidates = near.groupBy("node").agg(F.collect_list(F.struct(F.round("cos", 9).alias("cos"), "other_id")).alias("near"))
     placed = skew_join(rows.select("id", "h1", "h2"), groups, ["h1", "h2"]).select("id", "node", "ids")
     full = F.size("ids") > k  # k equal rows beside itself: no other is needed
