@@ -23,11 +23,11 @@ def init(buckets: int, width: int, hidden: int, out: int, seed: int) -> Params:
 
 
 def bags(p: Params, features: list[np.ndarray]) -> np.ndarray:
-    """Mean of the embeddings of each bag."""
+    """Sum of the embeddings of each bag over the fourth root of its size: one sign among many words keeps its weight."""
     n = np.array([len(f) for f in features])
     flat = np.concatenate(features)
     sums = np.add.reduceat(p["E"][flat], np.r_[0, np.cumsum(n)[:-1]], axis=0)
-    return sums / np.sqrt(n)[:, None]
+    return sums / (n**0.25).astype(sums.dtype)[:, None]
 
 
 def _run(x: np.ndarray, mask: np.ndarray, W: np.ndarray, c: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -101,7 +101,7 @@ def gradients(p: Params, docs: list[list[np.ndarray]], loss) -> tuple[float, Par
     features = [f for doc in docs for f in doc]
     n = np.array([len(f) for f in features])
     g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], np.concatenate(features), np.repeat(dx / np.sqrt(n)[:, None], n, axis=0))
+    np.add.at(g["E"], np.concatenate(features), np.repeat(dx / (n**0.25).astype(dx.dtype)[:, None], n, axis=0))
     return value, g
 
 

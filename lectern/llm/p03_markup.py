@@ -27,6 +27,8 @@ SYNTAXES = ("markdown", "html", "wiki", "latex")
 CLASSES = ("text", "heading", "list", "code", "formula", "quote", "table", "meta")
 TRAIN_RECORDS = 900
 BUCKETS, WIDTH, HIDDEN, EPOCHS, ROWS = 4096, 24, 24, 14, 32
+#: Words share few vectors, so that the network can't learn a training text by heart; signs have one each but for collisions.
+WORD_BUCKETS = 32
 SOURCES = (("obsidian_notes", "note_id", "markdown"), ("obsidian_sections", "section_id", "markdown"), ("notes", "id", "note_html"))
 
 # Names of elements.
@@ -214,12 +216,12 @@ def features(b: Block) -> np.ndarray:
     for m in WORD.finditer(t):
         s = m.group()
         if s[0].isalpha() or s[0].isdigit():
-            names.append(f"w:{s[:12].lower()}" if s[0].isalpha() else "w:0")
+            names.append(f"w:{zlib.crc32(s.lower().encode()) % WORD_BUCKETS}" if s[0].isalpha() else "w:0")
             continue
         a, z = t[m.start() - 1 : m.start()], t[m.end() : m.end() + 1]
         side = lambda c: "^" if not c or c == "\n" else "_" if c.isspace() else "0" if c.isdigit() else "a"
         names += [f"s:{s[:8]}", f"x:{side(a)}{s[:8]}{side(z)}"]
-    return np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names])
+    return np.unique([zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names])
 
 
 def _loss(logits: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -250,7 +252,7 @@ def fit(bodies: list[str]) -> tuple[lstm.Params, np.ndarray]:
     logits = np.concatenate([lstm.forward(p, docs[i : i + 256])[0] for i in range(0, len(docs), 256)])
     y = np.concatenate(targets)
     low = [logits[y[:, 1 + i] > 0, len(CLASSES) + i].min(initial=0.0) - 2 for i in range(len(SYNTAXES))]
-    return p, np.minimum(low, -5.0)
+    return p, np.minimum(low, -7.0)
 
 
 def labelled(p: lstm.Params, bodies: list[str | None], rows: int = 256) -> list[tuple[list[Block], np.ndarray]]:
