@@ -9,14 +9,17 @@ from __future__ import annotations
 import math
 import re
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..session import spread, table
+from ..session import ensure_checkpoint_dir, spread, table
+from ..sinks import generations as G
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 AND_TERMS = 20
+INDEX_BUCKETS, WRITERS = 64, 4
 RRF_BASE = 40
 RRF_WEIGHTS = {"phrase": 2.8, "bm25": 1.35, "dense": 1.0}
 # What a kind of passage gains or loses in similarity, and in lexical score (lower is better).
@@ -81,6 +84,51 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[list[str]], a
     return j.filter(keep).select("key", score.alias("score"))
 
 
+def write_index(docs: DataFrame, generation: str) -> None:
+    """Store an index: postings with each document's length beside them, by bucket of the term and sorted by term, and the index's own statistics.
+
+    Postings of one bucket are written by as many tasks as a hash of the document gives, so a term of all documents is no single task."""
+    rows = postings(docs).join(docs.select("key", "n_terms"), "key")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int"))
+    G.write(rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(WRITERS))).sortWithinPartitions("bucket", "term"), generation, "postings", ["bucket"])
+    G.write(docs.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("a")), generation, "corpus")
+
+
+def bm25_stored(spark: SparkSession, generation: str, weights: dict[str, float], phrases: list[list[str]], any_term: bool = False) -> DataFrame:
+    """As bm25, from a stored index: only the buckets of the query's terms are read, and no text."""
+    stored = spark.read.parquet(f"{generation}/postings")
+    if not phrases:
+        return stored.select("key", F.lit(0.0).alias("score")).limit(0)
+    whole = spark.read.parquet(f"{generation}/corpus").first()
+    terms = sorted({t for p in phrases for t in p})
+    bucket = lambda t: ((h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64 if h >> 63 else 0)) % INDEX_BUCKETS
+    own = stored.filter(F.col("bucket").isin(*{bucket(t) for t in terms}) & F.col("term").isin(*terms) & F.col("column").isin(*weights))
+    weight = F.element_at(F.create_map(*[F.lit(x) for w in weights.items() for x in w]), F.col("column"))
+    parts = []
+    for i, p in enumerate(phrases):
+        if len(p) == 1:
+            hits = own.filter(F.col("term") == p[0]).select("key", "column", "n_terms", F.col("n").alias("o"))
+        else:  # the positions of each term, moved to where the phrase begins; common ones are its occurrences
+            wanted = own.filter(F.col("term").isin(*p)).groupBy("key", "column", "n_terms").agg(*[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{j}") for j, t in enumerate(p)])
+            common = F.col("p0")
+            for j in range(1, len(p)):
+                common = F.array_intersect(common, _moved(f"p{j}", j))
+            hits = wanted.dropna().select("key", "column", "n_terms", F.size(common).alias("o")).filter("o > 0")
+        parts.append(hits.groupBy("key", "n_terms").agg(F.sum(weight * F.col("o")).alias("f")).withColumn("i", F.lit(i)))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    counts = {r["i"]: r["n"] for r in rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per phrase
+    idf = [max(IDF_FLOOR, x) if (x := math.log((whole["n"] - counts.get(i, 0) + 0.5) / (counts.get(i, 0) + 0.5))) > 0 else IDF_FLOOR for i in range(len(phrases))]
+    one = F.element_at(F.array(*map(F.lit, idf)), F.col("i") + 1) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("n_terms") / F.lit(whole["a"])))
+    scored = rows.groupBy("key").agg((-F.sum(one)).alias("score"), F.count_distinct("i").alias("m"))
+    return (scored if any_term else scored.filter(F.col("m") == len(phrases))).select("key", "score")
+
+
+def _moved(column: str, by: int) -> Column:
+    return F.transform(column, lambda x: x - by)
+
+
 def top(scored: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """A page of the order (score, key)."""
     return scored.orderBy("score", "key").offset(offset).limit(limit)
@@ -214,7 +262,16 @@ def blend_5_1(spark, d):
     return blend(ranked(_bm25(spark, d, parse("survey"), any_term=True), 41), ranked(bm25(notes, {"heading": 2.0, "markdown": 6.0}, parse("survey")), 41))
 
 
+def bm25_indexed(spark, d):
+    """The AND query from an index that is stored in the shared folder first."""
+    ensure_checkpoint_dir(spark)
+    generation = G.reserve(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lectern-index")
+    write_index(_docs(spark, d), generation)
+    return _shown(top(bm25_stored(spark, generation, WEIGHTS, parse(QUERY)), 40))
+
+
 QUERIES = {
+    "bm25_indexed": bm25_indexed,
     "bm25_and": lambda s, d: _shown(top(_bm25(s, d), 40)),
     "bm25_or_locate": lambda s, d: _shown(top(_bm25(s, d, any_term=True), 40)),
     "bm25_page_two": lambda s, d: _shown(top(_bm25(s, d, any_term=True), 40, 40)),
@@ -250,6 +307,7 @@ _BONUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in KIND_ADJUSTM
 _dense = lambda bonus: f"WITH c AS ({_OK}), q AS (SELECT e AS v FROM c ORDER BY id LIMIT 1) SELECT id, kind, item_id, round(list_cosine_similarity(e, v) + {bonus}, 9) AS similarity FROM c, q ORDER BY similarity DESC, id DESC LIMIT 25"
 _POST = f"WITH t AS (SELECT doc_id AS key, 'title' AS \"column\", {_fold('title')} AS t FROM documents UNION ALL SELECT doc_id, 'text', {_fold('text')} FROM documents), p AS (SELECT key, \"column\", unnest(t) AS term, generate_subscripts(t, 1) - 1 AS position FROM t) "
 SQL = {
+    "bm25_indexed": _sql(_TWO, WEIGHTS, "ORDER BY x, key LIMIT 40"),
     "bm25_and": _sql(_TWO, WEIGHTS, "ORDER BY x, key LIMIT 40"),
     "bm25_or_locate": _sql(_TWO, WEIGHTS, "ORDER BY x, key LIMIT 40", True),
     "bm25_page_two": _sql(_TWO, WEIGHTS, "ORDER BY x, key LIMIT 40 OFFSET 40", True),

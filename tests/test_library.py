@@ -66,6 +66,17 @@ def test_bm25_equals_fts5(spark, query, match, exact):
     assert [r["score"] for r in got] == pytest.approx([x for _, x in want], abs=1e-9)
 
 
+def test_stored_index_gives_the_same_scores(spark, tmp_path):
+    docs = S.index(spark.createDataFrame([*ROWS, (6, None, None)], "id long, a string, b string"), "id", ["a", "b"])
+    g = str(tmp_path / "generation=1")
+    S.write_index(docs, g)
+    w = {"a": 3.0, "b": 5.0}
+    for query, exact, any_term in (("cat", False, False), ("cat dog", False, False), ("cat dog", False, True), ("cow pig", True, False), ("dog fish", True, False), ("x_y", False, False), ("none", False, False), ("", False, False)):
+        a = {r["key"]: r["score"] for r in S.bm25(docs, w, S.parse(query, exact), any_term).collect()}
+        b = {r["key"]: r["score"] for r in S.bm25_stored(spark, g, w, S.parse(query, exact), any_term).collect()}
+        assert b == pytest.approx(a), query
+
+
 def test_empty_query_and_index(spark):
     docs = S.index(spark.createDataFrame(ROWS, "id long, a string, b string"), "id", ["a"])
     assert S.bm25(docs, {"a": 1.0}, S.parse("...")).count() == 0
