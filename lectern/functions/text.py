@@ -232,7 +232,7 @@ STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was",
 
 def query_terms(c: Column, most: int = 10) -> Column:
     """Words of three or more letters that aren't stop-words; ordered, once each."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(W + "+"), F.lit(0))
+    words = F.regexp_extract_all(F.translate(F.lower(c), "ς", "σ"), F.lit(W + "+"), F.lit(0))
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))), 1, most)
 
 

@@ -112,3 +112,25 @@ SQL = {
     "needs_recognition": _sql("document_pages", "id", needed="coalesce(length(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')), 0) < 80"),
     "index_tokens": _sql("documents", "doc_id", n=f"len({_TOKENS(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')})::INTEGER", n_distinct=f"len(list_distinct({_TOKENS(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}))::INTEGER"),
 }
+
+_once = lambda xs, key: f"list_filter({xs}, lambda v, i: list_position(list_transform({xs}, lambda z: {key.format('z')}), {key.format('v')}) = i)"
+_PEOPLE = "SELECT DISTINCT id, CASE WHEN len(a) > 0 THEN a ELSE p END AS p FROM (SELECT id, p, list_filter(p, lambda x: x.creatorType IN ('author', 'bookAuthor')) AS a FROM (SELECT id, from_json(creators_json, '[{\"creatorType\":\"VARCHAR\",\"firstName\":\"VARCHAR\",\"lastName\":\"VARCHAR\"}]') AS p FROM items))"
+_NAMES = f"SELECT id, list_filter(list_transform(p, lambda x: trim(concat_ws(' ', x.firstName, x.lastName), ' ')), lambda n: n <> '') AS n FROM ({_PEOPLE})"
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_TERMS = f"SELECT id, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS w FROM (SELECT DISTINCT id, title FROM items)"
+
+
+def _language(code: str) -> str:
+    votes = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v)})))" for k, v in T.LANGUAGE_WORDS.items()}
+    signs = " ".join(f"WHEN regexp_matches(t, '{sign.replace('IsGreek', 'Greek').replace('IsArabic', 'Arabic')}') THEN '{name}'" for name, sign in T.LANGUAGE_SIGNS)
+    vote = " ".join(f"WHEN {v} >= 3 AND {v} >= greatest({', '.join(x for n, x in votes.items() if n != k)}) + 2 THEN '{k}'" for k, v in votes.items())
+    codes = "CASE " + " ".join(f"WHEN c = '{a}' THEN '{b}'" for a, b in T.LANGUAGE_CODES.items()) + " END"
+    return f"SELECT DISTINCT doc_id AS key, coalesce({codes}, CASE {signs} {vote} END) AS language FROM (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, lower(regexp_extract({code}, '^\\s*([A-Za-z]{{2,3}})', 1)) AS c FROM documents)"
+
+
+SQL |= {
+    "creator_names": f"SELECT id AS key, array_to_string({_once('n', 'lower({})')}, '; ') AS names FROM ({_NAMES})",
+    "query_terms": f"SELECT id AS key, array_to_string(({_once('w', '{}')})[1:10], ' ') AS terms FROM ({_TERMS})",
+    "language_vote": _language("lang"),
+    "language_of_text": _language("NULL::VARCHAR"),
+}
