@@ -117,7 +117,7 @@ _once = lambda xs, key: f"list_filter({xs}, lambda v, i: list_position(list_tran
 _PEOPLE = "SELECT DISTINCT id, CASE WHEN len(a) > 0 THEN a ELSE p END AS p FROM (SELECT id, p, list_filter(p, lambda x: x.creatorType IN ('author', 'bookAuthor')) AS a FROM (SELECT id, from_json(creators_json, '[{\"creatorType\":\"VARCHAR\",\"firstName\":\"VARCHAR\",\"lastName\":\"VARCHAR\"}]') AS p FROM items))"
 _NAMES = f"SELECT id, list_filter(list_transform(p, lambda x: trim(concat_ws(' ', x.firstName, x.lastName), ' ')), lambda n: n <> '') AS n FROM ({_PEOPLE})"
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-_TERMS = f"SELECT id, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS w FROM (SELECT DISTINCT id, title FROM items)"
+_TERMS = f"SELECT id, list_filter(regexp_extract_all(replace(lower(title), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})) AS w FROM (SELECT DISTINCT id, title FROM items)"
 
 
 def _language(code: str) -> str:
