@@ -45,6 +45,8 @@ HYPHEN = "-‐‑\xad¬"
 LABEL = r"(?:page|pag|pg|seite|strona|str|p|s|σελίδα|σελ|стор|ст|с|n°)\.?"
 NUMBER = r"(?:\d{1,5}|[ivxlcdm]{1,12}|[\dloiszbg|]{1,5})(?!\w)"
 EDGE_NUMBER = re.compile(rf"[^\w|]*(?:{LABEL}[ \t]*)?(?P<n>{NUMBER})(?:[ \t]*/[ \t]*\d{{1,5}})?[^\w\n|]*", re.I)
+#: A line that can be nothing but a page number.
+SURE = re.compile(rf"^\W*{LABEL}\s*\d+\s*$|^\s*[\[—–-]\s*\d+\s*[\]—–-]\s*$|^\s*\d+\s*/\s*\d+\s*$", re.I)
 BREAK = re.compile(rf"([^\W\d_]+)[{HYPHEN}][ \t]*\r?\n\s*([^\W\d_]+)")
 BREAK_INLINE = re.compile(rf"([^\W\d_]+)(?:[{HYPHEN}][ \t\r\n]+|[\xad¬])([^\W\d_]+)")
 BREAK_END = re.compile(rf"([^\W\d_]{{2,}})[{HYPHEN}]\s*\Z")
@@ -57,7 +59,7 @@ DIGITS = str.maketrans("loiszbg|", "10152691")
 def number_of(text: str) -> set[int]:
     """What a printed number may say: as digits, as digits with misread ones, as a Roman number."""
     t, out = text.lower(), set()
-    if re.search(r"\d", t) and (u := t.translate(DIGITS)).isdigit():
+    if (re.search(r"\d", t) or set(t) <= set("lio|")) and (u := t.translate(DIGITS)).isdigit():
         out.add(int(u))
     if set(t) <= set(ROMAN):
         v = [ROMAN[c] for c in t]
@@ -148,7 +150,7 @@ def clean_page(text: str, page: int | None, keys: list[str], distance: int | Non
             readings = [(bool(n is not None and page is not None and distance is not None and page + distance in number_of(n)), line_key(rest), n) for rest, n in strip_numbers(line)]
             hit = False
             for own, key, n in sorted(readings, key=lambda x: not x[0]):  # the one with the page's own number first
-                sure = distance is None and n is not None and bool(re.search(rf"^\W*{LABEL}\s*\d+\s*$|^\s*[\[—–-]\s*\d+\s*[\]—–-]\s*$|^\s*\d+\s*/\s*\d+\s*$", line.strip(), re.I))
+                sure = distance is None and n is not None and bool(SURE.search(line.strip()))
                 if not key and (own or sure):
                     hit = number = True
                 elif key and _alike(key, keys) and (n is None or own or distance is None):
@@ -204,7 +206,8 @@ def clean_block(text: str, first: int | None, last: int | None, keys: list[str],
         text = text[:a] + ("\n" if a and z < len(text) else "") + text[z:]
     for s, e in reversed(_lines(text)):
         m = EDGE_NUMBER.fullmatch(text[s:e].strip())
-        if m and (expected & number_of(m["n"]) or s == 0 and e == len(text.rstrip()) and re.fullmatch(rf"\W*{LABEL}\s*\d+\W*", text.strip(), re.I)):
+        alone = s == 0 and e == len(text.rstrip()) and distance is None
+        if m and (expected & number_of(m["n"]) or alone and SURE.search(text.strip())):
             number, text = True, text[:s] + text[e:]
     s = text.strip()
     if expected and (n := number_at(s, False)) and (n < len(s)) and re.match(r"\W*[A-ZΑ-ΩА-ЯÀ-ÞĄĆĘŁŃÓŚŹŻ„“«]", s[n:]):
