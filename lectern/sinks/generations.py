@@ -6,12 +6,15 @@ partitioned or clustered by the caller. Paths may be on any file system Hadoop k
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-POINTER = "current.json"
+POINTER, PREVIOUS = "current.json", "previous.json"
 
 
 def _fs(spark: SparkSession, root: str):
@@ -30,8 +33,6 @@ def write(df: DataFrame, generation: str, name: str, partition_by: list[str] | N
 
 
 def token(manifest: dict) -> str:
-    import hashlib
-
     return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
 
 
@@ -50,38 +51,35 @@ def publish(spark: SparkSession, root: str, generation: str, required: dict[str,
     out.close()
     target = Path(f"{root}/{POINTER}")
     if fs.exists(target):
-        fs.rename(target, Path(f"{root}/previous.json")) if not fs.exists(Path(f"{root}/previous.json")) else (fs.delete(Path(f"{root}/previous.json"), False), fs.rename(target, Path(f"{root}/previous.json")))
+        fs.delete(Path(f"{root}/{PREVIOUS}"), False)
+        fs.rename(target, Path(f"{root}/{PREVIOUS}"))
     if not fs.rename(work, target):
         raise OSError("the pointer could not be replaced")
     return manifest
 
 
+def _read(spark: SparkSession, path: str) -> dict | None:
+    """A manifest; None if it is missing, can't be read or isn't what was written."""
+    fs, Path = _fs(spark, path)
+    if not fs.exists(Path(path)):
+        return None
+    try:
+        m = json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+        return m if m["token"] == token({k: m[k] for k in ("generation", "tables")}) else None
+    except (ValueError, KeyError, TypeError, PySparkException, Py4JJavaError):  # a checksum that doesn't fit comes as either of the last two
+        return None
+
+
 def current(spark: SparkSession, root: str) -> dict | None:
     """The published manifest; the previous one where the pointer is missing or damaged; None if there is none."""
-    fs, Path = _fs(spark, root)
-    for name in (POINTER, "previous.json"):
-        p = Path(f"{root}/{name}")
-        if fs.exists(p):
-            try:
-                m = json.loads("".join(r["value"] for r in spark.read.text(str(p), wholetext=True).collect()))
-                if m.get("token") == token({k: m[k] for k in ("generation", "tables")}):
-                    return m
-            except (ValueError, KeyError):
-                continue
-    return None
+    return _read(spark, f"{root}/{POINTER}") or _read(spark, f"{root}/{PREVIOUS}")
 
 
 def recover(spark: SparkSession, root: str, keep: int = 1) -> list[str]:
     """Remove generations that no pointer names; the published one and the last before it stay."""
     fs, Path = _fs(spark, root)
-    now = current(spark, root)
-    named = {now["generation"].rstrip("/").rsplit("/", 1)[-1]} if now else set()
-    prev = Path(f"{root}/previous.json")
-    if keep and fs.exists(prev):
-        try:
-            named.add(json.loads("".join(r["value"] for r in spark.read.text(str(prev), wholetext=True).collect()))["generation"].rstrip("/").rsplit("/", 1)[-1])
-        except (ValueError, KeyError):
-            pass
+    found = [current(spark, root), _read(spark, f"{root}/{PREVIOUS}") if keep else None]
+    named = {m["generation"].rstrip("/").rsplit("/", 1)[-1] for m in found if m}
     gone = []
     for s in fs.listStatus(Path(root)):
         name = s.getPath().getName()
