@@ -22,7 +22,7 @@ SCHEMAS = {
     "clean_document_blocks": "id long, attachment_id long, item_id long, ordinal long, block_type string, page_start int, page_end int, text string, char_count long",
     "semantic_chunks": "id long, model string, dimensions int, kind string, item_id long, embedding array<float>, text string",
     "notes": "id long, item_id long, title string, note_html string",
-    "documents": "doc_id long, text string, lang string, source string, title string",
+    "documents": "doc_id long, text string, lang string, source string, item_id long, title string",
 }
 
 
