@@ -1,6 +1,6 @@
 """Problem 5: text of scanned pages to continuous paragraphs.
 
-Running lines and page numbers: outermost lines of each page are reduced to keys; a key that recurs in its attachment is a running line, and the
+Running lines and page numbers: outermost lines of each page (and the next ones beside a number that stands alone) are reduced to keys; a key that recurs in its attachment is a running line, and the
 commonest distance between printed and counted page number gives each page's expected number. Both are counted in partial aggregates.
 Misread words: every word of the corpus enters a frequency lexicon. A symmetric-delete index over it takes out, on either side, up to two units of
 a confusion pair (`ri` here, `n` there) and leaves a mark for the pair, so words meet whose difference is made of confusions; a weighted
@@ -98,13 +98,21 @@ def is_running_shape(line: str) -> bool:
     return bool(s) and not re.search(r"[.;:?!]\W*$", s) and not s[:1].islower() or bool(re.fullmatch(r"(?:\S[ ]{1,3}){6,}\S?.*", s))
 
 
+def edge_lines(text: str) -> set[tuple[int, int]]:
+    """The outermost line at head and foot; where it or the line next to it is a number alone, both."""
+    spans, out = _lines(text), set()
+    for side in (spans[:2], spans[-2:][::-1]):
+        alone = any(n is not None and not line_key(rest) for s, e in side for rest, n in strip_numbers(text[s:e]))
+        out |= set(side if alone else side[:1])
+    return out
+
+
 def edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each page: keys of lines that may be running lines, and distances of numbers that may be its own."""
     for f in frames:
         out = set()
         for a, p, text in zip(f["attachment_id"], f["page_number"], f["text"]):
-            spans = _lines(text)
-            for s, e in {*spans[:1], *spans[-1:]}:
+            for s, e in edge_lines(text):
                 line = text[s:e]
                 for rest, n in strip_numbers(line):
                     key = line_key(rest)

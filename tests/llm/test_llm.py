@@ -135,6 +135,14 @@ def test_scans(spark, write):
     assert {tuple(r)[2:] for r in p5.p5_repairs(spark, d).collect()} == {("chartcr", "charter"), ("accourit", "account")}
 
 
+def test_running_line_beside_a_number_alone(spark, write):
+    """The title never stands outermost: below the number at the head, above it at the foot, or the number stands next to the title."""
+    body = "\n".join(f"the {w} of the province contradicts the survey." for w in ("harvest", "household", "charter"))
+    page = lambda a, p: {1: f"{40 + p}\nREADING THE CHARTER\n{body}", 2: f"{body}\nREADING THE CHARTER\n[{40 + p}]", 3: f"READING THE CHARTER\n{40 + p}\n{body}"}[a]
+    d = write({"document_pages": [{"id": 10 * a + p, "attachment_id": a, "page_number": p, "text": page(a, p)} for a in (1, 2, 3) for p in range(1, 7)]})
+    assert set(rows(p5.p5_found(spark, d))) == {("document_pages", 10 * a + p, n) for a in (1, 2, 3) for p in range(1, 7) for n in ("header", "page_number")}
+
+
 def test_scan_parts():
     assert p5.number_of("xiv") == {14} and p5.number_of("l6O") == {160} and p5.number_of("abc") == set()
     assert p5.cost("accourit", "account") == pytest.approx(0.5) and p5.cost("cat", "dog") == np.inf
