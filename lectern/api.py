@@ -82,7 +82,7 @@ class Library:
         return table(self.spark, self.root, name)
 
     def search(self, query: str, method: str = "hybrid", exact: bool = False, filters: Filters = Filters()) -> DataFrame:
-        """(key, score, place-ordered) page of documents, with title joined after the top k."""
+        """(kind, key, score, title) of a page of documents and chunks, best first; titles are joined per kind after the top k."""
         method = method if method in ("bm25", "dense", "hybrid") else "hybrid"
         self.reason = None
         if method != "bm25" and self.embed is None:
@@ -94,19 +94,21 @@ class Library:
             keys = self._table("documents").join(allowed, "item_id", "left_semi").select(F.col("doc_id").alias("key"))
             scored = scored.join(keys, "key", "left_semi")
         if method == "bm25":
-            page = S.top(scored, self.PAGE + 1, filters.offset)
+            page = S.of_kind("document", S.top(scored, self.PAGE + 1, filters.offset))
         else:
-            near = S.dense(S._chunks(self.spark, self.root), self.embed(query), 160).withColumnRenamed("id", "key")
+            near = S.dense(S._chunks(self.spark, self.root), self.embed(query), 160)
             if method == "dense":
-                page = near.select("key", (-F.col("similarity")).alias("score")).orderBy("score", "key").offset(filters.offset).limit(self.PAGE + 1)
+                page = S.of_kind("chunk", near.select(F.col("id").alias("key"), (-F.col("similarity")).alias("score"))).orderBy("score", F.desc("key")).offset(filters.offset).limit(self.PAGE + 1)
             else:
-                from pyspark.sql import Window
-
-                lists = {"bm25": S.ranked(scored, min(500, max(100, 3 * (filters.offset + self.PAGE + 1)))), "dense": near.select("key", F.row_number().over(Window.orderBy(F.desc("similarity"), F.desc("key"))).alias("rank"))}
+                lists = {"bm25": S.of_kind("document", S.ranked(scored, min(500, max(100, 3 * (filters.offset + self.PAGE + 1))))), "dense": S.of_kind("chunk", S.near(near))}
                 if 1 <= len(S.parse(query)) <= 6:
-                    lists["phrase"] = S.ranked(S.bm25(docs, S.WEIGHTS, S.parse(query, True)), 160)
-                page = S.fuse(lists).select("key", (-F.col("score")).alias("score")).orderBy("score", "key").offset(filters.offset).limit(self.PAGE + 1)
-        return page.join(self._table("documents").select(F.col("doc_id").alias("key"), "title"), "key", "left").orderBy("score", "key")
+                    lists["phrase"] = S.of_kind("document", S.ranked(S.bm25(docs, S.WEIGHTS, S.parse(query, True)), 160))
+                page = S.fuse(lists).orderBy("place").offset(filters.offset).limit(self.PAGE + 1).select("kind", "key", (-F.col("score")).alias("score"), "place")
+        titles = S.of_kind("document", self._table("documents").select(F.col("doc_id").alias("key"), "title"))
+        if method != "bm25":
+            titles = titles.unionByName(S.of_kind("chunk", self._table("semantic_chunks").select(F.col("id").alias("key"), "title").dropDuplicates(["key"])))
+        order = ["place"] if "place" in page.columns else ["score", F.desc("key") if method == "dense" else "key"]
+        return page.join(titles, ["kind", "key"], "left").orderBy(*order).select("kind", "key", "score", "title")
 
     def author(self, name: str) -> DataFrame:
         people = F.from_json("creators_json", T.CREATORS)

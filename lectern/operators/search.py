@@ -186,13 +186,25 @@ def diverse(ranked: DataFrame, limit: int, per_item: int = 2) -> DataFrame:
 
 
 def fuse(lists: dict[str, DataFrame]) -> DataFrame:
-    """Reciprocal rank fusion of lists (key, rank): (key, score, methods, place); equal scores in the order phrase, BM25, dense and rank."""
-    parts = [df.select("key", "rank", F.lit(m).alias("method"), F.lit(w).alias("w"), F.lit(i).alias("o")) for i, (m, w) in enumerate(RRF_WEIGHTS.items()) if (df := lists.get(m)) is not None]
+    """Reciprocal rank fusion of lists (kind, key, rank): (kind, key, score, methods, place); equal scores in the order phrase, BM25, dense and rank.
+
+    A hit is known by kind and key: ids of one kind of record say nothing about another. Lists without kind are of one, null."""
+    kind = lambda df: F.col("kind") if "kind" in df.columns else F.lit(None).cast("string").alias("kind")
+    parts = [df.select(kind(df), "key", "rank", F.lit(m).alias("method"), F.lit(w).alias("w"), F.lit(i).alias("o")) for i, (m, w) in enumerate(RRF_WEIGHTS.items()) if (df := lists.get(m)) is not None]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    fused = rows.groupBy("key").agg(F.sum(F.col("w") / (RRF_BASE + F.col("rank"))).alias("s"), F.min(F.struct("o", "rank")).alias("first"), F.array_sort(F.collect_set("method")).alias("methods"))
-    return fused.select("key", F.round("s", 9).alias("score"), F.array_join("methods", ",").alias("methods"), F.row_number().over(Window.orderBy(F.desc(F.round("s", 9)), "first", "key")).alias("place"))
+    fused = rows.groupBy("kind", "key").agg(F.sum(F.col("w") / (RRF_BASE + F.col("rank"))).alias("s"), F.min(F.struct("o", "rank")).alias("first"), F.array_sort(F.collect_set("method")).alias("methods"))
+    return fused.select("kind", "key", F.round("s", 9).alias("score"), F.array_join("methods", ",").alias("methods"), F.row_number().over(Window.orderBy(F.desc(F.round("s", 9)), "first", "kind", "key")).alias("place"))
+
+
+def near(hits: DataFrame) -> DataFrame:
+    """(key, rank) of hits of dense()."""
+    return hits.select(F.col("id").alias("key"), F.row_number().over(Window.orderBy(F.desc("similarity"), F.desc("id"))).alias("rank"))
+
+
+def of_kind(kind: str, df: DataFrame) -> DataFrame:
+    return df.withColumn("kind", F.lit(kind))
 
 
 def ranked(scored: DataFrame, limit: int) -> DataFrame:
@@ -252,8 +264,8 @@ def dense_diverse(spark, d):
 def hybrid(spark, d):
     docs = _docs(spark, d)
     lists = {"phrase": ranked(bm25(docs, WEIGHTS, parse("contested theory", True)), 160), "bm25": ranked(bm25(docs, WEIGHTS, parse("contested theory")), 120)}
-    near = dense(_chunks(spark, d), _vector(spark, d), 160)
-    lists["dense"] = near.select(F.col("id").alias("key"), F.row_number().over(Window.orderBy(F.desc("similarity"), F.desc("id"))).alias("rank"))
+    lists = {m: of_kind("document", df) for m, df in lists.items()}
+    lists["dense"] = of_kind("chunk", near(dense(_chunks(spark, d), _vector(spark, d), 160)))
     return fuse(lists).filter("place <= 120")
 
 

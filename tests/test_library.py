@@ -181,6 +181,24 @@ def test_facade(spark, write):
     assert c.get("24") is None
 
 
+def library_with_chunks(spark, write, tables, chunks):
+    """A folder whose chunks (id, item_id, kind, title, embedding) have ids that are also ids of documents."""
+    d = write(tables)
+    rows = [(i, "veld-embed-base", 2, k, item, t, e, f"text {i}") for i, item, k, t, e in chunks]
+    spark.createDataFrame(rows, "id long, model string, dimensions int, kind string, item_id long, title string, embedding array<float>, text string").write.mode("overwrite").parquet(f"{d}/semantic_chunks.parquet")
+    return d
+
+
+def test_fusion_keeps_kinds_apart(spark, write):
+    docs = [{"doc_id": i, "text": t, "title": f"document {i}"} for i, t in enumerate(["cat", "dog", "bird"], 1)]
+    d = library_with_chunks(spark, write, {"documents": docs}, [(1, None, "note", "chunk 1", [1.0, 0.0]), (2, None, "note", "chunk 2", [0.0, 1.0])])
+    got = api.Library(spark, d, lambda q: [1.0, 0.0]).search("cat", "hybrid").collect()
+    assert [(r["kind"], r["key"], r["title"]) for r in got] == [("document", 1, "document 1"), ("chunk", 1, "chunk 1"), ("chunk", 2, "chunk 2")]
+    assert [r["score"] for r in got] == pytest.approx([-(2.8 + 1.35) / 41, -1 / 41, -1 / 42])
+    assert {(r["kind"], r["key"]) for r in S.hybrid(spark, d).collect()} == {("chunk", 1), ("chunk", 2)}
+    assert [r["title"] for r in api.Library(spark, d, lambda q: [1.0, 0.0]).search("cat", "dense").collect()] == ["chunk 1", "chunk 2"]
+
+
 def test_registry_without_and_with_queries(spark):
     import __spark_entry__ as e
 
