@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
 from .operators import search as S
+from .plans import relational as R
 from .session import table
 
 
 @dataclass(frozen=True)
 class Filters:
-    """None means no restriction, an empty tuple nothing."""
+    """None means no restriction, an empty tuple nothing. Collections and days of publication hold for records of items, folders for those of the vault."""
 
     collections: tuple[int, ...] | None = None
     folders: tuple[str, ...] | None = None
@@ -81,6 +82,36 @@ class Library:
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.root, name)
 
+    def _items(self, filters: Filters) -> DataFrame | None:
+        """item_id of the items that pass; None without a restriction. An item without a readable date passes no restriction of days."""
+        if filters.collections is None and not filters.published_from and not filters.published_to:
+            return None
+        out = self._table("items").select(F.col("id").alias("item_id"), "collections_json")
+        if filters.collections is not None:
+            c = F.from_json("collections_json", "array<bigint>")
+            out = out.filter(F.arrays_overlap(c, F.array(*map(F.lit, filters.collections))) if filters.collections else F.lit(False))
+        out = out.select("item_id").distinct()
+        if filters.published_from or filters.published_to:
+            days = R.run(self.spark, self.root, "date_interval")
+            days = days.filter((F.col("hi") >= (filters.published_from or "")) & (F.col("lo") <= (filters.published_to or "9999-12-31")))
+            out = out.join(days.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+        return out
+
+    def _chunks(self, filters: Filters, allowed: DataFrame | None) -> DataFrame:
+        """Usable chunks that pass, before any top k. Where the table has no column folder, no vault chunk passes a restriction of folders."""
+        chunks, vault = S._chunks(self.spark, self.root), F.coalesce(F.col("kind") == "obsidian", F.lit(False))
+        if allowed is not None:
+            chunks = chunks.filter(vault).unionByName(chunks.filter(~vault).join(allowed, "item_id", "left_semi").select(chunks.columns))
+        if filters.folders is not None:
+            named = self._table("semantic_chunks")
+            if filters.folders and "folder" in named.columns:
+                inside = named.filter(F.col("folder").isin(*filters.folders)).select("id")
+                chunks = chunks.filter(~vault).unionByName(chunks.filter(vault).join(inside, "id", "left_semi").select(chunks.columns))
+            else:
+                self.reason = "chunks without folders" if filters.folders else self.reason
+                chunks = chunks.filter(~vault)
+        return chunks
+
     def search(self, query: str, method: str = "hybrid", exact: bool = False, filters: Filters = Filters()) -> DataFrame:
         """(kind, key, score, title) of a page of documents and chunks, best first; titles are joined per kind after the top k."""
         method = method if method in ("bm25", "dense", "hybrid") else "hybrid"
@@ -89,20 +120,21 @@ class Library:
             method, self.reason = "bm25", "no embedding service"
         docs = S.index(self._table("documents"), "doc_id", ["title", "text"])
         scored = S.bm25(docs, S.WEIGHTS, S.parse(query, exact and method == "bm25"))
-        if filters.collections is not None:
-            allowed = self._table("items").select(F.col("id").alias("item_id"), F.explode(F.from_json("collections_json", "array<bigint>")).alias("c")).filter(F.col("c").isin(*filters.collections) if filters.collections else F.lit(False)).select("item_id").distinct()
-            keys = self._table("documents").join(allowed, "item_id", "left_semi").select(F.col("doc_id").alias("key"))
-            scored = scored.join(keys, "key", "left_semi")
+        allowed, target = self._items(filters), filters.offset + self.PAGE + 1
+        keys = None if allowed is None else self._table("documents").join(allowed, "item_id", "left_semi").select(F.col("doc_id").alias("key"))
+        kept = lambda scored: scored if keys is None else scored.join(keys, "key", "left_semi")
+        scored = kept(scored)
         if method == "bm25":
             page = S.of_kind("document", S.top(scored, self.PAGE + 1, filters.offset))
         else:
-            near = S.dense(S._chunks(self.spark, self.root), self.embed(query), 160)
+            candidates = target if method == "dense" else min(500, max(100, 3 * target))
+            near = S.dense(self._chunks(filters, allowed), self.embed(query), max(160, 2 * candidates))
             if method == "dense":
                 page = S.of_kind("chunk", near.select(F.col("id").alias("key"), (-F.col("similarity")).alias("score"))).orderBy("score", F.desc("key")).offset(filters.offset).limit(self.PAGE + 1)
             else:
-                lists = {"bm25": S.of_kind("document", S.ranked(scored, min(500, max(100, 3 * (filters.offset + self.PAGE + 1))))), "dense": S.of_kind("chunk", S.near(near))}
+                lists = {"bm25": S.of_kind("document", S.ranked(scored, candidates)), "dense": S.of_kind("chunk", S.near(near))}
                 if 1 <= len(S.parse(query)) <= 6:
-                    lists["phrase"] = S.of_kind("document", S.ranked(S.bm25(docs, S.WEIGHTS, S.parse(query, True)), 160))
+                    lists["phrase"] = S.of_kind("document", S.ranked(kept(S.bm25(docs, S.WEIGHTS, S.parse(query, True))), min(candidates, 160)))
                 page = S.fuse(lists).orderBy("place").offset(filters.offset).limit(self.PAGE + 1).select("kind", "key", (-F.col("score")).alias("score"), "place")
         titles = S.of_kind("document", self._table("documents").select(F.col("doc_id").alias("key"), "title"))
         if method != "bm25":

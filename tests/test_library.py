@@ -199,6 +199,21 @@ def test_fusion_keeps_kinds_apart(spark, write):
     assert [r["title"] for r in api.Library(spark, d, lambda q: [1.0, 0.0]).search("cat", "dense").collect()] == ["chunk 1", "chunk 2"]
 
 
+def test_filters_hold_for_every_list(spark, write):
+    items = [{"id": 1, "collections_json": "[7]", "date_created": "1990-05"}, {"id": 2, "collections_json": "[8]", "date_created": "2001"}, {"id": 3, "collections_json": None, "date_created": "n.d."}]
+    docs = [{"doc_id": i, "text": "cat", "title": "t", "item_id": i} for i in (1, 2, 3)]
+    chunks = [(10 * i, i, "note", "t", [1.0, 0.1 * i]) for i in (1, 2, 3)] + [(100, None, "obsidian", "v", [1.0, 0.0])] + [(1000 + i, 1, "note", "t", [0.5, 1.0]) for i in range(300)]
+    d = library_with_chunks(spark, write, {"documents": docs, "items": items}, chunks)
+    lib = api.Library(spark, d, lambda q: [1.0, 0.0])
+    keys = lambda method, **f: {r["key"] for r in lib.search("cat", method, filters=api.Filters(**f)).collect()}
+    assert keys("dense", collections=(8,)) == {20, 100} and keys("hybrid", collections=(8,)) == {2, 20, 100}
+    assert keys("hybrid", collections=(), folders=()) == set() and keys("dense", collections=(8,), folders=()) == {20}
+    assert keys("bm25", published_from="1990-05-31", published_to="1999-12-31") == {1}
+    assert keys("hybrid", published_from="2000-01-01", folders=()) == {2, 20}
+    assert keys("dense", collections=(8,), folders=("Inbox",)) == {20} and lib.reason == "chunks without folders"
+    assert len(keys("dense", offset=200)) == api.Library.PAGE + 1
+
+
 def test_registry_without_and_with_queries(spark):
     import __spark_entry__ as e
 
