@@ -39,8 +39,8 @@ MAX_COST = 1.3
 MAX_UNITS = 2
 #: A word can stand for a misread one if it is that frequent, and so many times as frequent as the other.
 LEAST_COUNT, RATIO = 4, 8
-#: A running line stands on two pages at least, and on this share of the attachment's pages.
-RUNNING_SHARE = 0.12
+#: A running line stands on two pages at least, on three in an attachment of more pages than this; a title may hold for one chapter of a long book only.
+FEW_PAGES = 16
 HYPHEN = "-‐‑\xad¬"
 LABEL = r"(?:page|pag|pg|seite|strona|str|p|s|σελίδα|σελ|стор|ст|с|n°)\.?"
 NUMBER = r"(?:\d{1,5}|[ivxlcdm]{1,12}|[\dloiszbg|]{1,5})(?!\w)"
@@ -129,7 +129,7 @@ def attachments(pages: DataFrame) -> DataFrame:
     e = cut(some.mapInPandas(edges, "attachment_id bigint,page_number int,kind string,key string,distance int"))
     size = some.select("attachment_id", "page_number").distinct().groupBy("attachment_id").agg(F.count(F.lit(1)).alias("pages"))
     counts = e.distinct().groupBy("attachment_id", "kind", "key", "distance").agg(F.count(F.lit(1)).alias("n")).join(size, "attachment_id")
-    keys = counts.filter((F.col("kind") == "k") & (F.col("n") >= 2) & (F.col("n") >= RUNNING_SHARE * F.col("pages"))).groupBy("attachment_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    keys = counts.filter((F.col("kind") == "k") & (F.col("n") >= F.when(F.col("pages") <= FEW_PAGES, 2).otherwise(3))).groupBy("attachment_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     numbers = counts.filter("kind = 'n'").groupBy("attachment_id").agg(F.max(F.struct("n", (-F.abs("distance")).alias("d"), "distance")).alias("m")).select("attachment_id", F.when(F.col("m.n") >= 2, F.col("m.distance")).alias("distance"))
     return keys.join(numbers, "attachment_id", "full").select("attachment_id", "keys", "distance")
 
@@ -175,14 +175,15 @@ def clean_page(text: str, page: int | None, keys: list[str], distance: int | Non
 def clean_block(text: str, first: int | None, last: int | None, keys: list[str], distance: int | None) -> tuple[str, bool, bool]:
     """As clean_page, where noise may be run together with the text."""
     header = number = False
-    expected = {p + distance for p in range(first, min(last, first + 50) + 1)} if distance is not None and first is not None and last is not None else set()
+    expected = range(first + distance, last + distance + 1) if distance is not None and first is not None and last is not None else range(0)
+    own = lambda n: any(v in expected for v in number_of(n))
     plain = [(i, c.lower()) for i, c in enumerate(text) if c.isalnum()]
     letters = "".join(c if len(c) == 1 else c[0] for _, c in plain)
 
     def number_at(s: str, end: bool) -> int:
         """Length of the expected number at the head or foot of s."""
         m = re.search(rf"(?:^|(?<=\s))[^\w|]*(?:{LABEL}[ \t]*)?(?P<n>{NUMBER})(?:[ \t]*/[ \t]*\d{{1,5}})?[^\w|]*$", s, re.I) if end else EDGE_NUMBER.match(s)
-        if not m or not expected & number_of(m["n"]):
+        if not m or not own(m["n"]):
             return 0
         if not end and m.end() < len(s) and s[m.end() - 1].isalnum():
             return 0
@@ -215,7 +216,7 @@ def clean_block(text: str, first: int | None, last: int | None, keys: list[str],
     for s, e in reversed(_lines(text)):
         m = EDGE_NUMBER.fullmatch(text[s:e].strip())
         alone = s == 0 and e == len(text.rstrip()) and distance is None
-        if m and (expected & number_of(m["n"]) or alone and SURE.search(text.strip())):
+        if m and (own(m["n"]) or alone and SURE.search(text.strip())):
             number, text = True, text[:s] + text[e:]
     s = text.strip()
     if expected and (n := number_at(s, False)) and (n < len(s)) and re.match(r"\W*[A-ZΑ-ΩА-ЯÀ-ÞĄĆĘŁŃÓŚŹŻ„“«]", s[n:]):

@@ -143,6 +143,17 @@ def test_running_line_beside_a_number_alone(spark, write):
     assert set(rows(p5.p5_found(spark, d))) == {("document_pages", 10 * a + p, n) for a in (1, 2, 3) for p in range(1, 7) for n in ("header", "page_number")}
 
 
+def test_titles_of_chapters_in_a_long_attachment(spark, write):
+    """Each of 40 titles stands on five of 200 pages; a line on two of them is no running line."""
+    word = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    pages = [{"id": p, "attachment_id": 1, "page_number": p, "text": f"TREATISE {word(p // 5 * 677).upper() * 4}\nthe survey of {word(p)} ends."} for p in range(200)]
+    pages += [{"id": p, "attachment_id": 1, "page_number": p, "text": "Twice written heading\nthe survey ends."} for p in (200, 201)]
+    d = write({"document_pages": pages})
+    known = {r["attachment_id"]: set(r["keys"]) for r in p5.attachments(spark.read.parquet(f"{d}/document_pages.parquet")).collect()}
+    assert known == {1: {p5.line_key(p["text"].split("\n")[0]) for p in pages[:200]}}
+    assert p5.clean_block("A text.\n163", 1, 100, [], 100)[0] == "A text." and p5.clean_block("A text.\n163", 1, 10**9, [], 100)[2]
+
+
 def test_scan_parts():
     assert p5.number_of("xiv") == {14} and p5.number_of("l6O") == {160} and p5.number_of("abc") == set()
     assert p5.cost("accourit", "account") == pytest.approx(0.5) and p5.cost("cat", "dog") == np.inf
