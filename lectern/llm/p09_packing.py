@@ -1,8 +1,8 @@
 """Problem 9: documents into containers of fixed capacity, in tokens of a public tokenizer.
 
-Only the histogram of sizes reaches the driver: at most `capacity` rows, whatever the number of documents. Sizes are routed to tiers (each
-half of the next), packed from the longest tier down, and the gaps of long windows are filled from the shorter tiers first, tightest gap first,
-before a new window is opened. Containers of one pattern are planned together as a count. Documents find their place by their rank
+Only the histogram of sizes reaches the driver: at most `capacity` rows, whatever the number of documents. Sizes are packed by best fit
+decreasing over one capacity: the longest first, each into the tightest gap that holds it before a new container is opened. There are no windows of several
+context sizes; `tier` is a label of the document's size (each tier half of the next) and decides nothing. Containers of one pattern are planned together as a count. Documents find their place by their rank
 among those of their size: ranks come from counts per (size, bucket), so a hot size is spread over buckets. Containers are numbered by cost (sum of squared
 sizes) and dealt to step groups to and fro, which balances the groups.
 
