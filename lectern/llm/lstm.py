@@ -101,12 +101,16 @@ def gradients(p: Params, docs: list[list[np.ndarray]], loss) -> tuple[float, Par
     features = [f for doc in docs for f in doc]
     n = np.array([len(f) for f in features])
     g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], np.concatenate(features), np.repeat(dx / (n**0.25).astype(dx.dtype)[:, None], n, axis=0))
+    flat = np.concatenate(features)
+    order = np.argsort(flat, kind="stable")
+    at = flat[order]
+    starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    g["E"][at[starts]] = np.add.reduceat(np.repeat(dx / (n**0.25).astype(dx.dtype)[:, None], n, axis=0)[order], starts, axis=0)
     return value, g
 
 
 def train(p: Params, docs: list[list[np.ndarray]], targets: list[np.ndarray], loss, epochs: int, rows: int, rate: float, seed: int) -> Params:
-    """loss: (logits, targets) -> (loss, gradient). Documents of like length go together."""
+    """loss: (logits, targets) -> (loss, gradient). Documents of like length go together; the rate falls linearly to a thirtieth."""
     r = np.random.default_rng(seed)
     m = {k: np.zeros_like(x) for k, x in p.items()}
     v = {k: np.zeros_like(x) for k, x in p.items()}
@@ -124,5 +128,5 @@ def train(p: Params, docs: list[list[np.ndarray]], targets: list[np.ndarray], lo
                 x = g[k] * min(1, 5 / (norm + 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
-                p[k] = p[k] - rate * (0.3 if epoch >= epochs - 2 else 1) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
+                p[k] = p[k] - rate * (1 - 0.97 * epoch / max(1, epochs - 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
     return p

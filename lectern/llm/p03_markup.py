@@ -1,9 +1,9 @@
 """Problem 3: bodies with Markdown, HTML, wiki and LaTeX markup to readable text that keeps headings, lists, code and formulas.
 
 A body is cut into leaf blocks in order, each with the path of tags it stands in. A bidirectional LSTM (lstm) reads the whole sequence, each block as
-a bag of hashed words, signs and tag path, and gives every block a class (what it is rendered as) and the syntaxes in it. Its labels for
-training come from the rules below on a bounded sample of TRAIN_RECORDS bodies, the first by hash of their id. What the network names at a low
-threshold is confirmed by the rules before it counts; the threshold lies below what every true block of the sample reaches.
+a bag of hashed words, signs with what stands beside them, and tag path, and gives every block a class (what it is rendered as) and a probability for each
+syntax. What it gives 0.5 or more is found; no rule adds to it or takes from it. It is trained on TRAIN_BODIES bodies written for it
+(markup_bodies), in which markup is inserted and so labelled by construction; no row of the tables is trained on. Training takes place once per driver process.
 
 Front matter and what stands in code are no markup. Null, empty and blank bodies have no blocks and an empty text. Repeated rows count once in p3_found
 and stay in p3_text; rows with a null id are left out of p3_found. Bodies of any length are read whole. Empty tables give no rows.
@@ -11,22 +11,25 @@ and stay in p3_text; rows with a null id are left out of p3_found. Bodies of any
 
 from __future__ import annotations
 
+import functools
 import html
+import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import spread, table
-from . import lstm
+from . import lstm, markup_bodies as M
 
 SYNTAXES = ("markdown", "html", "wiki", "latex")
 CLASSES = ("text", "heading", "list", "code", "formula", "quote", "table", "meta")
-TRAIN_RECORDS = 900
-BUCKETS, WIDTH, HIDDEN, EPOCHS, ROWS = 4096, 24, 24, 14, 32
+TRAIN_BODIES = 2_400
+BUCKETS, WIDTH, HIDDEN, EPOCHS, ROWS = 8192, 24, 24, 12, 32
 #: Words share few vectors, so that the network can't learn a training text by heart; signs have one each but for collisions.
 WORD_BUCKETS = 32
 SOURCES = (("obsidian_notes", "note_id", "markdown"), ("obsidian_sections", "section_id", "markdown"), ("notes", "id", "note_html"))
@@ -52,27 +55,32 @@ WHOLE = re.compile(
     re.M | re.I,
 )
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)(?:(?!\n\s*\n)[\s\S])+?(?<!`)\1(?!`)|<(code|tt|kbd|samp|nowiki)\b[^>]*>[\s\S]*?</\2\s*>", re.I)
-LATEX = re.compile(
-    r"\$\$[\s\S]+?\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)"
-    r"|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*(?:[\\^_=<>{}+]|\b[A-Za-z]\b))[^$\n]{0,300}?(?<=[^\s\\])\$(?![\d$])"
-    r"|\\(?:begin|end)\s*\{[A-Za-z]+\*?\}|\\[A-Za-z]{2,}\*?\s*(?:\[[^\]\n]*\]\s*)?\{|\\item\b|\{\\(?:bf|it|em|tt|sc|rm|sl)\b"
-)
-WIKI = re.compile(
-    r"!?\[\[[^\[\]\n]+(?:\[[^\[\]\n]*\][^\[\]\n]*)*\]\]|\{\{[^{}]+\}\}|^\{\||^\|\}|^(={2,6})[ \t]*[^=\n][^\n]*?\1[ \t]*\r?$|(?<!')'{2,5}(?![\s'])[^'\n]+(?:'[^'\n]+)*'{2,5}(?!')"
-    r"|\[(?:https?|ftp)://[^\s\]]+[ \t][^\]\n]+\]|^;[ \t]*\S[^\n]*(?:\r?\n:|[ \t]:[ \t])|^__[A-Z]+__\r?$|^:+[ \t]*\S[^\n]*\r?$",
-    re.M,
-)
-MARKDOWN = re.compile(
-    r"^[ \t>]{0,6}#{1,6}[ \t]+\S|^[ \t]*\S[^\n]*\r?\n[ \t]{0,3}(?:={2,}|-{2,})[ \t]*\r?$|^[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})\r?$"
-    r"|^[ \t]*(?:[-+*]|\d{1,9}[.)])[ \t]+\S|^[ \t]{0,3}>"
-    r"|(?<![\w*\\])\*{1,3}(?=[^\s*])(?:[^*\n]|\*(?=\S)[^*\n]+\*)+?(?<=[^\s*\\])\*{1,3}(?![\w*])|(?<![\w\\])_{1,3}(?=[^\s_])[^\n]+?(?<=[^\s_\\])_{1,3}(?!\w)|~~(?=\S)[^~\n]+(?<=\S)~~|(?<![=\w])==(?=[^\s=])[^=\n]+(?<=[^\s=])==(?![=\w])"
-    r"|!?\[[^\[\]\n]*\]\((?:<[^>\n]*>|[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+[\"'(][^\n]*?[\"')])?\)|(?<!\[)\[[^\[\]\n]+\][ ]?\[[^\[\]\n]*\](?!\])|^[ \t]{0,3}\[[^\]\n]+\]:[ \t]*\S|\[\^[^\]\n]+\]"
-    r"|^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*\r?$|<(?:https?://|mailto:)[^<>\s]+>",
-    re.M,
-)
 LIST_LINE = re.compile(r"[ \t]*(?:[-+*]|\d{1,9}[.)]|\\item\b)[ \t]+\S|[;:]+[ \t]*\S")
 HEAD_LINE = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+\S|(={2,6})[ \t]*[^=\n].*?\1[ \t]*\r?$|\\(?:(?:sub)*section|chapter|title)\*?\s*\{")
-WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+LETTERS = re.compile(r"[^\W\d_]+")
+SIGN = re.compile(r"(?:(?<=(.))|\A)([^\w\s]+|_+)(?=(.)|\Z)", re.S)
+#: Signs with no white space between them.
+TOUCHING = re.compile(r"(?=([^\w\s]+|_+)([^\W_]+)([^\w\s]+|_+))")
+#: A pair of equal signs around a phrase that they touch.
+AROUND = re.compile(r"(?<![\w\\])([*_~=$'`]+)(?=\S)[^\n*_~=$'`]+?(?<=\S)\1(?!\w)")
+
+
+class Path:
+    """The tags around a block, innermost first; paths share what they have in common, however deep tags are nested."""
+
+    __slots__ = ("name", "up", "level", "quoted")
+
+    def __init__(self, name: str, up: Path | None):
+        self.name, self.up = name, up
+        self.level = int(name[1]) if re.fullmatch("h[1-6]", name) else up.level if up else 0
+        self.quoted = name == "blockquote" or bool(up and up.quoted)
+
+    def names(self, most: int) -> list[str]:
+        out, at = [], self
+        while at and len(out) < most:
+            out.append(at.name)
+            at = at.up
+        return out
 
 
 class Block:
@@ -80,7 +88,7 @@ class Block:
 
     __slots__ = ("kind", "path", "text")
 
-    def __init__(self, kind: str, path: tuple, text: str):
+    def __init__(self, kind: str, path: Path | None, text: str):
         self.kind, self.path, self.text = kind, path, text
 
 
@@ -89,10 +97,11 @@ def blocks(body: str | None) -> list[Block]:
     if not body or not body.strip():
         return []
     out: list[Block] = []
-    path: list[str] = []
+    path: Path | None = None
+    open_: Counter[str] = Counter()
     start = 0
     if m := FRONT.match(body):
-        out.append(Block("front", (), m.group()))
+        out.append(Block("front", None, m.group()))
         start = m.end()
 
     def lines(text: str) -> None:
@@ -100,7 +109,7 @@ def blocks(body: str | None) -> list[Block]:
 
         def flush() -> None:
             if held and "".join(held).strip():
-                out.append(Block("p", tuple(path), "\n".join(held)))
+                out.append(Block("p", path, "\n".join(held)))
             held.clear()
 
         for line in text.split("\n"):
@@ -111,25 +120,33 @@ def blocks(body: str | None) -> list[Block]:
                 held.append(line)
             elif HEAD_LINE.match(line):
                 flush()
-                out.append(Block("p", tuple(path), line))
+                out.append(Block("p", path, line))
             else:
                 held.append(line)
         flush()
 
+    def leave() -> None:
+        nonlocal path
+        open_[path.name] -= 1
+        path = path.up
+
     def piece(text: str) -> None:
+        nonlocal path
         at = 0
         for m in BLOCK_TAG.finditer(text):
             lines(text[at : m.start()])
             name = m["name"].lower()
-            out.append(Block("tag", tuple(path), m.group()))
+            out.append(Block("tag", path, m.group()))
             if m["close"]:
-                if name in path:
-                    del path[len(path) - 1 - path[::-1].index(name) :]
+                if open_[name]:
+                    while path.name != name:
+                        leave()
+                    leave()
             elif not m["empty"] and name not in ("br", "hr"):
-                if name in ("p", "li", "tr", "td", "th", "dt", "dd") and path and path[-1] == name:
-                    path.pop()
-                path.append(name)
-                del path[:-24]
+                if name in ("p", "li", "tr", "td", "th", "dt", "dd") and path and path.name == name:
+                    leave()
+                path = Path(name, path)
+                open_[name] += 1
             at = m.end()
         lines(text[at:])
 
@@ -139,89 +156,60 @@ def blocks(body: str | None) -> list[Block]:
             continue
         piece(body[start : m.start()])
         kind = next(k for k in ("fence", "open", "pre", "comment", "display", "wikitable") if m[k] is not None)
-        out.append(Block("fence" if kind == "open" else kind, tuple(path), m.group()))
+        out.append(Block("fence" if kind == "open" else kind, path, m.group()))
         start = m.end()
     piece(body[start:])
     return out
 
 
-def syntaxes(b: Block) -> list[bool]:
-    """The rules: which of SYNTAXES stand in a block."""
-    found = [False] * 4
-    if b.kind == "front":
-        return found
-    if b.kind == "tag" or b.kind in ("pre", "comment"):
-        return [False, True, False, False]
-    if b.kind == "fence":
-        return [True, False, False, False]
-    text = b.text
-    if b.kind == "display":
-        return [False, False, False, True]
-
-    def hide(rule: re.Pattern, text: str, fill: str) -> tuple[str, bool]:
-        spans = [m.span() for m in rule.finditer(text)]
-        if not spans:
-            return text, False
-        out, at = [], 0
-        for a, z in spans:
-            out += [text[at:a], fill]
-            at = z
-        return "".join([*out, text[at:]]), True
-
-    code = False
-    for m in INLINE_CODE.finditer(text):
-        code = True
-        found[0 if m[1] else 1] = True
-    if code:
-        text = INLINE_CODE.sub("x", text)
-    text, found[3] = hide(LATEX, text, "x")
-    text, wiki = hide(WIKI, text, "x")
-    found[2] = wiki or b.kind == "wikitable"
-    if re.search(COMMENT, text) or TAG.search(text) or ENTITY.search(text):
-        found[1] = True
-        text = ENTITY.sub("x", TAG.sub(" " if "\n" in text else "", re.sub(COMMENT, "", text)))
-    if b.kind != "wikitable" and MARKDOWN.search(text):
-        found[0] = True
-    return found
-
-
-def rule_class(b: Block) -> str:
-    t = b.text.strip()
-    if b.kind in ("front", "comment", "tag") or b.kind == "pre" and t[:7].lower() in ("<script", "<style>", "<style "):
-        return "meta"
-    if b.kind in ("fence", "pre"):
-        return "code"
-    if b.kind == "display":
-        return "formula"
-    if b.kind == "wikitable" or b.path and b.path[-1] in ("td", "th", "tr", "caption"):
-        return "table"
-    if HEAD_LINE.match(t) or b.path and re.fullmatch("h[1-6]", b.path[-1]) or re.search(r"\n[ \t]{0,3}(?:={2,}|-{2,})[ \t]*\r?$", t):
-        return "heading"
-    if LIST_LINE.match(b.text) or "li" in b.path[-2:] or b.path and b.path[-1] in ("dt", "dd"):
-        return "list"
-    if t.startswith(">") or "blockquote" in b.path:
-        return "quote"
-    if re.match(r"\|.*\|", t) and "\n" in t or re.search(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|", t, re.M):
-        return "table"
-    if re.match(r"\[[^\]\n]+\]:|\[\[(?:Category|Kategoria|Catégorie|Kategorie):", t, re.I) or re.fullmatch(r"(?:[-*_][ \t]*){3,}|\\(?:begin|end)\{[a-z]+\*?\}|\{\{[^{}]*\}\}", t):
-        return "meta"
-    return "text"
+@functools.lru_cache(1 << 16)
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+@functools.lru_cache(1 << 16)
+def _word(word: str) -> int:
+    return _hash(f"w:{zlib.crc32(word.encode('utf-8', 'surrogatepass')) % WORD_BUCKETS}")
+
+
+def _side(c: str) -> str:
+    return "^" if not c or c == "\n" else "_" if c.isspace() else "0" if c.isdigit() else "A" if c.isupper() else "a"
+
+
+@functools.lru_cache(1 << 16)
+def _sign(before: str, sign: str, after: str) -> tuple[int, int]:
+    return _hash(f"s:{sign[:8]}"), _hash(f"x:{_side(before)}{sign[:8]}{_side(after)}")
+
+
+def shown(b: Block) -> str:
+    """What of a block is looked at: code shows its marks, not what stands inside."""
+    if b.kind in ("fence", "pre", "comment", "front"):
+        return b.text.lstrip()[:160].split("\n")[0].split(">")[0]  # the opening mark or tag
+    return INLINE_CODE.sub(lambda m: f"{m[1]}x{m[1]}" if m[1] else f"<{m[2]}>x</{m[2]}>", b.text)
+
+
+def _shape(line: str) -> str:
+    """How a line begins: white space, signs, and whether letters or digits follow."""
+    return re.sub(r"[^\W\d_]+", "W", re.sub(r"\d+", "0", line[:24].rstrip("\r")))[:5]
 
 
 def features(b: Block) -> np.ndarray:
     """Hashed words, signs with what stands beside them, the path and the kind."""
-    t = b.text
-    names = [f"k:{b.kind}", f"b:{re.sub(r'[^W0]+', lambda m: m[0][:2], re.sub(r'[^W_0-9]', lambda c: 'W' if c[0].isalpha() else c[0], t.lstrip()[:12]))}"]
-    names += [f"t:{x}" for x in b.path[-4:]]
-    for m in WORD.finditer(t):
-        s = m.group()
-        if s[0].isalpha() or s[0].isdigit():
-            names.append(f"w:{zlib.crc32(s.lower().encode()) % WORD_BUCKETS}" if s[0].isalpha() else "w:0")
-            continue
-        a, z = t[m.start() - 1 : m.start()], t[m.end() : m.end() + 1]
-        side = lambda c: "^" if not c or c == "\n" else "_" if c.isspace() else "0" if c.isdigit() else "a"
-        names += [f"s:{s[:8]}", f"x:{side(a)}{s[:8]}{side(z)}"]
-    return np.unique([zlib.crc32(n.encode("utf-8", "surrogatepass")) % BUCKETS for n in names])
+    t = shown(b)
+    out = {_hash(f"k:{b.kind}"), _hash(f"b:{_shape(t)}"), _hash(f"c:{_shape(t)[:2]}"), *(_hash(f"t:{x}") for x in (b.path.names(4) if b.path else ()))}
+    if b.path:
+        out.add(_hash(f"l:{b.path.level > 0}{b.path.quoted}"))
+    if b.kind in ("tag", "pre"):
+        out.add(_hash(f"o:{(m := BLOCK_TAG.match(t) or re.match('<([a-zA-Z]+)', t)) and m[0][:4].lower()}"))
+    out.update(map(_word, set(LETTERS.findall(t.lower()))))
+    for triple in set(SIGN.findall(t)):
+        out.update(_sign(*triple))
+    for a, w, z in set(TOUCHING.findall(t)):
+        out.add(_hash(f"j:{a[-3:]}{'0' if w.isdigit() else 'a'}{z[:3]}"))
+    out.update(_hash(f"p:{x[:5]}") for x in set(AROUND.findall(t)))
+    if "\n" in t:  # how the lines after the first begin
+        out.update(_hash(f"n:{x}") for x in {_shape(line) for line in t.split("\n")[1:] if line.strip()})
+    return np.fromiter(out, np.int64, len(out))
 
 
 def _loss(logits: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -233,26 +221,29 @@ def _loss(logits: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     d[:, :k] = e
     d[np.arange(n), y[:, 0]] -= 1
     s = 1 / (1 + np.exp(-logits[:, k:]))
-    d[:, k:] = (s - y[:, 1:]) * np.where(y[:, 1:] > 0, 3, 1)
+    d[:, k:] = (s - y[:, 1:]) * np.where(y[:, 1:] > 0, 1.5, 1)
     return 0.0, d / n
 
 
-def fit(bodies: list[str]) -> tuple[lstm.Params, np.ndarray]:
-    """The network, and for each syntax the threshold of its logit."""
-    docs, targets = [], []
-    for body in bodies:
-        bs = blocks(body)
-        for i in range(0, len(bs), 200):  # for training only, long sequences go in parts
-            docs.append([features(b) for b in bs[i : i + 200]])
-            targets.append(np.array([[CLASSES.index(rule_class(b)), *syntaxes(b)] for b in bs[i : i + 200]]))
+def examples(n: int, seed: int) -> tuple[list[list[Block]], list[np.ndarray]]:
+    """Blocks of n written bodies and their labels: the class, then a bit for each syntax. A body whose leaves aren't cut as they were written is left out."""
+    r = random.Random(seed)
+    cuts, labels = [], []
+    while len(cuts) < n:
+        leaves = M.body(r)
+        bs = blocks(M.text(leaves))
+        if len(bs) == len(leaves):
+            cuts.append(bs)
+            labels.append(np.array([[CLASSES.index(x.kind), *(x.marks >> i & 1 for i in range(len(SYNTAXES)))] for x in leaves]))
+    return cuts, labels
+
+
+@functools.cache
+def model(bodies: int = TRAIN_BODIES, epochs: int = EPOCHS) -> lstm.Params:
+    """The network, trained on bodies that were written for it."""
+    cuts, labels = examples(bodies, 11)
     p = lstm.init(BUCKETS, WIDTH, HIDDEN, len(CLASSES) + len(SYNTAXES), 7)
-    if not docs:
-        return p, np.full(len(SYNTAXES), -np.inf)
-    p = lstm.train(p, docs, targets, _loss, EPOCHS, ROWS, 0.02, 7)
-    logits = np.concatenate([lstm.forward(p, docs[i : i + 256])[0] for i in range(0, len(docs), 256)])
-    y = np.concatenate(targets)
-    low = [logits[y[:, 1 + i] > 0, len(CLASSES) + i].min(initial=0.0) - 2 for i in range(len(SYNTAXES))]
-    return p, np.minimum(low, -7.0)
+    return lstm.train(p, [[features(b) for b in bs] for bs in cuts], labels, _loss, epochs, ROWS, 0.02, 7)
 
 
 def labelled(p: lstm.Params, bodies: list[str | None], rows: int = 256) -> list[tuple[list[Block], np.ndarray]]:
@@ -272,14 +263,23 @@ def labelled(p: lstm.Params, bodies: list[str | None], rows: int = 256) -> list[
     return out
 
 
-def confirmed(bs: list[Block], logits: np.ndarray, low: np.ndarray) -> list[bool]:
-    """The syntaxes of a body: named by the network for some block and confirmed there by the rules."""
-    named = logits[:, len(CLASSES) :] >= low
-    found = np.zeros(len(SYNTAXES), bool)
-    for b, n in zip(bs, named):
-        if (n & ~found).any():
-            found |= n & np.array(syntaxes(b))
-    return found.tolist()
+def found(logits: np.ndarray) -> np.ndarray:
+    """The syntaxes of a body: those that some block has with a probability of 0.5 or more."""
+    return (logits[:, len(CLASSES) :] >= 0).any(0)
+
+
+EMPHASIS = re.compile(
+    r"(?<![\w*\\])\*{1,3}(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*{1,3}(?![\w*])|(?<![\w\\])_{1,3}(?=[^\s_])([^_\n]+?)(?<=[^\s_\\])_{1,3}(?!\w)|~~(?=\S)([^~\n]+)(?<=\S)~~"
+    r"|(?<![=\w])==(?=[^\s=])([^=\n]+)(?<=[^\s=])==(?![=\w])"
+)
+MATH = re.compile(r"\$\$[\s\S]+?\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*(?:[\\^_=<>{}+]|\b[A-Za-z]\b))[^$\n]*?(?<=[^\s\\])\$(?![\d$])")
+
+
+def _settled(step: Callable[[str], str], text: str) -> str:
+    """The text after as many steps as change it: one for each level of nesting."""
+    while (after := step(text)) != text:
+        text = after
+    return text
 
 
 def plain(text: str) -> str:
@@ -291,8 +291,7 @@ def plain(text: str) -> str:
         kept.append(html.unescape(TAG.sub("", s)) if s.startswith("<") else s.strip("`").strip() if s.startswith("`") else s)
         return f"\x00{len(kept) - 1}\x00"
 
-    math = re.compile(r"\$\$[\s\S]+?\$\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*(?:[\\^_=<>{}+]|\b[A-Za-z]\b))[^$\n]{0,300}?(?<=[^\s\\])\$(?![\d$])")
-    t = math.sub(keep, INLINE_CODE.sub(keep, text.replace("\x00", "")))
+    t = MATH.sub(keep, INLINE_CODE.sub(keep, text.replace("\x00", "")))
     t = re.sub(COMMENT, "", t)
     t = re.sub(r"!?\[\[(?:[^\[\]|\n]*\|)*([^\[\]|\n]*)\]\]", r"\1", t)
     t = re.sub(r"\{\{[^{}|]*\|?([^{}]*)\}\}", lambda m: m[1].split("|")[0], t)
@@ -301,26 +300,21 @@ def plain(text: str) -> str:
     t = re.sub(r"(?<!\[)\[([^\[\]\n]+)\][ ]?\[[^\[\]\n]*\](?!\])", r"\1", t)
     t = re.sub(r"\[\^[^\]\n]+\]:?", "", t)
     t = re.sub(r"\\(?:label|ref|cite|index)\w*\*?\s*(?:\[[^\]\n]*\])?\{[^{}]*\}", "", t)
-    for _ in range(3):
-        t = re.sub(r"\\[A-Za-z]{2,}\*?\s*(?:\[[^\]\n]*\]\s*)?\{([^{}]*)\}", r"\1", t)
+    t = _settled(lambda t: re.sub(r"\\[A-Za-z]{2,}\*?\s*(?:\[[^\]\n]*\]\s*)?\{([^{}]*)\}", r"\1", t), t)
     t = re.sub(r"\\item\b[ \t]*|\\(?:begin|end)\{[A-Za-z]+\*?\}", "", t)
     t = re.sub(r"\{\\(?:bf|it|em|tt|sc|rm|sl)\b[ ]?([^{}]*)\}", r"\1", t)
     t = re.sub(r"'{2,5}(?=\S)([^'\n]+(?:'[^'\n]+)*)'{2,5}", r"\1", t)
-    for _ in range(2):
-        t = re.sub(r"(?<![\w*\\])\*{1,3}(?=[^\s*])([^*\n]+?)(?<=[^\s*\\])\*{1,3}(?![\w*])|(?<![\w\\])_{1,3}(?=[^\s_])([^_\n]+?)(?<=[^\s_\\])_{1,3}(?!\w)|~~(?=\S)([^~\n]+)(?<=\S)~~|(?<![=\w])==(?=[^\s=])([^=\n]+)(?<=[^\s=])==(?![=\w])", lambda m: next(g for g in m.groups() if g is not None), t)
-    for _ in range(2):  # escaped tags are tags once unescaped
-        t = html.unescape(TAG.sub(" ", t))
+    t = _settled(lambda t: EMPHASIS.sub(lambda m: next(g for g in m.groups() if g is not None), t), t)
+    t = _settled(lambda t: html.unescape(TAG.sub(" ", t)), t)  # escaped tags are tags once unescaped
     t = re.sub(r"\s+", " ", TAG.sub(" ", t)).strip()
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], t)
 
 
 def render(bs: list[Block], logits: np.ndarray) -> str:
-    """Readable text, a paragraph or structure each. The network's class holds unless the way the block was cut out leaves no choice."""
+    """Readable text, a paragraph or structure each, by the class the network gives."""
     out: list[str] = []
-    for b, x in zip(bs, logits):
-        t = b.text.replace("\r", "")
-        fixed = rule_class(b) if b.kind != "p" or rule_class(b) in ("meta", "heading", "list", "table") else None
-        kind = fixed or CLASSES[int(x[: len(CLASSES)].argmax())]
+    for b, k in zip(bs, logits[:, : len(CLASSES)].argmax(1)):
+        t, kind = b.text.replace("\r", ""), CLASSES[k]
         if kind == "meta":
             continue
         if kind == "code":
@@ -329,7 +323,7 @@ def render(bs: list[Block], logits: np.ndarray) -> str:
         elif kind == "formula":
             out.append(f"$$ {' '.join(re.sub(r'^(?:[$]{2}|..begin.(?:[a-z]+)[*]?.|..)|(?:[$]{2}|..end.(?:[a-z]+)[*]?.|..)$', '', t.strip()).split())} $$" if t.strip().startswith("$$") else t.strip())
         elif kind == "heading":
-            level = next((int(x[1]) for x in reversed(b.path) if re.fullmatch("h[1-6]", x)), 0) or len(re.match(r"[ \t]*([#=]*)", t)[1]) or 2
+            level = (b.path.level if b.path else 0) or len(re.match(r"[ \t]*([#=]*)", t)[1]) or 2
             s = re.sub(r"^[ \t]*(?:#+|={2,6})[ \t]*|[ \t]*(?:#+|={2,6})[ \t]*$|\n[ \t]*[=-]{2,}[ \t]*$", "", t.strip())
             out.append(f"{'#' * min(6, level)} {plain(s)}")
         elif kind == "list":
@@ -358,34 +352,26 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def model(rows: DataFrame) -> tuple[lstm.Params, np.ndarray]:
-    """Fitted on the TRAIN_RECORDS bodies that come first by the hash of their id; what is collected is bounded by their number, and each by the driver's result limit."""
-    some = rows.filter("length(trim(body)) > 0").dropDuplicates(["source_table", "record_id"])
-    first = some.orderBy(F.xxhash64("source_table", "record_id"), "record_id").limit(TRAIN_RECORDS).select("body")
-    return fit([r["body"] for r in first.collect()])
-
-
 def _applied(rows: DataFrame, schema: str, f) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model(rows))
+    shared = rows.sparkSession.sparkContext.broadcast(model())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, low = shared.value
         for frame in frames:
-            yield f(frame, labelled(p, frame["body"].tolist()), low)
+            yield f(frame, labelled(shared.value, frame["body"].tolist()))
 
     return spread(rows).mapInPandas(run, schema)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def rows(frame: pd.DataFrame, read: list, low: np.ndarray) -> pd.DataFrame:
-        hits = [(s, r, SYNTAXES[i]) for s, r, (bs, x) in zip(frame["source_table"], frame["record_id"], read) for i, ok in enumerate(confirmed(bs, x, low)) if ok]
+    def rows(frame: pd.DataFrame, read: list) -> pd.DataFrame:
+        hits = [(s, r, SYNTAXES[i]) for s, r, (bs, x) in zip(frame["source_table"], frame["record_id"], read) if len(bs) for i in np.flatnonzero(found(x))]
         return pd.DataFrame(hits, columns=["source_table", "record_id", "syntax"])
 
     return _applied(bodies(spark, sf_dir).filter("record_id IS NOT NULL"), "source_table string,record_id string,syntax string", rows).distinct()
 
 
 def p3_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def rows(frame: pd.DataFrame, read: list, low: np.ndarray) -> pd.DataFrame:
+    def rows(frame: pd.DataFrame, read: list) -> pd.DataFrame:
         return pd.DataFrame({"source_table": frame["source_table"], "record_id": frame["record_id"], "plain_text": [render(bs, x) for bs, x in read]})
 
     return _applied(bodies(spark, sf_dir), "source_table string,record_id string,plain_text string", rows)
