@@ -308,6 +308,8 @@ def test_packing(spark):
     total = sum(n or 0 for _, n in sizes)
     assert out["n_tokens"].sum() == total and out["container_id"].nunique() <= 1.02 * -(-total // 2048) + 1
     assert out.groupby("container_id")["n_tokens"].sum().max() <= 2048
+    inside = out[out["n_tokens"] > 0]
+    assert (inside["position"] // inside["tier"] == (inside["position"] + inside["n_tokens"] - 1) // inside["tier"]).all()  # no document lies in two windows
     s = out[out["n_tokens"] > 0].sort_values(["container_id", "position"])
     same = s["container_id"] == s["container_id"].shift()
     assert not (same & (s["position"] < (s["position"] + s["n_tokens"]).shift())).any()
@@ -320,13 +322,30 @@ def test_plan_uses_every_document_once():
     for _ in range(60):
         cap = r.randint(5, 60)
         hist = {s: r.randint(1, 40) for s in r.sample(range(1, cap + 1), r.randint(1, min(8, cap)))}
-        rows_, n = p9.plan(hist, cap)
-        assert rows_.groupby("size")["count"].sum().to_dict() == hist
-        used = np.zeros(n)
-        for x in rows_.itertuples():
+        made = p9.tiered(hist, cap, r.randint(1, 4))
+        assert made.rows.groupby("size")["count"].sum().to_dict() == hist
+        used, room = {}, {}
+        for x in made.rows.itertuples():
             for k in range(x.count):
-                used[x.base + k // x.each] += x.size
-        assert used.max() <= cap and used.min() > 0
+                tier, window = x.tier, x.base + k // x.each
+                (c,), (start,) = made.windows(np.array([tier]), np.array([window]))
+                used[c, start] = used.get((c, start), 0) + x.size
+                room[c, start] = made.widths[tier]
+        assert all(used[w] <= room[w] for w in used) and {c for c, _ in used} == set(range(made.containers))
+        for c in range(made.containers):  # windows of a container lie side by side
+            own = sorted((s, room[k, s]) for k, s in used if k == c)
+            assert all(a + n <= b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= cap
+
+
+def test_tiers_decide():
+    """Documents of one tier share its windows; with one tier the plan is another, and both meet the lower bound where there are short documents to fill gaps."""
+    r = random.Random(9)
+    hist = {s: r.randint(1, 30) for s in range(1, 2049, 7)}
+    hist |= {s: 400 for s in range(1, 40)}
+    least = -(-sum(s * n for s, n in hist.items()) // 2048)
+    four, one = p9.plan(hist, 2048, 4), p9.plan(hist, 2048, 1)
+    assert len(p9.plan({300: 1000}, 2048, 4).widths) == 2  # six to a container, which windows of 512 would not hold
+    assert not four.rows.equals(one.rows) and len([n for n in four.whole if n]) > 1 and max(four.containers, one.containers) <= least + 2
 
 
 # 10
