@@ -1,13 +1,14 @@
 """Problem 6: one surviving record per item.
 
 Skyline: records of an item are compared in trust (annotations), recency order (earlier date_added first, then smaller id)
-and completeness (real fields). Before anything of an item meets in one task, records are reduced to the first of each
-(trust, completeness) level by a partial aggregate, which loses no undominated record. The skyline is found among the levels;
-its lexicographic first (trust, date, id) is the representative.
+and completeness (number of real fields). Records are reduced to the first of each (trust, completeness) level by a partial aggregate, which loses no undominated
+record. Then the levels are sorted by recency and filtered: a level stands on the skyline if its trust is above all trust seen before it at its completeness or a higher one.
+Each level is laid out for its own completeness and all lower ones, so this is a running maximum in a window that spills and streams, without comparing pairs.
+The skyline's lexicographic first (trust, date, id) is the representative.
 
-Filling: a field comes from the representative if that has a real value, else from the earliest record that has one. This order is a
-chain, so in it every dominance layer holds a single record and the first layer with a value is a minimum: it is taken by a partial aggregate per item
-and field, and no item's records are collected.
+Filling: in filling, a record dominates another if it comes earlier and has all its real fields. Records with the same set of real fields are reduced to the
+first one by a partial aggregate, so of an item at most one record for each set meets, however many it has. The order of filling (representative, then recency) puts these
+into layers of one record each, and the layers are gone through from the first on, each filling the fields that are still empty.
 
 Defined cases: null annotation_count is 0; a date that is null or can't be read comes last; of several loads of one source record the newest
 loaded_at holds (ties: the largest by value); null or unreadable metadata has no fields; values that are blank, without letter or digit or only
@@ -16,7 +17,7 @@ stand for "nothing known" aren't real; records without item_id or source_item_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut, table
 
@@ -36,53 +37,72 @@ def instant(text: Column) -> Column:
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 
+CELLS = "array<struct<key:string,value:string>>"
+
+
 def sources(df: DataFrame) -> DataFrame:
-    """The source records as last loaded: item_id, sid, trust, late (no date), at, fields (real ones only)."""
+    """The source records as last loaded: item_id, sid, trust, late (no date), at, cells (real fields by name)."""
     newest = F.max(F.struct("loaded_at", "date_added", "annotation_count", "metadata_json")).alias("r")
     one = df.filter("item_id IS NOT NULL AND source_item_id IS NOT NULL").groupBy("item_id", F.col("source_item_id").alias("sid")).agg(newest)
     fields = F.map_filter(F.from_json("r.metadata_json", "map<string,string>"), lambda k, v: real(v))
+    cells = F.coalesce(F.array_sort(F.map_entries(fields)), F.array().cast(CELLS))
     at = instant(F.col("r.date_added"))
-    return one.select("item_id", "sid", F.coalesce("r.annotation_count", F.lit(0)).cast("long").alias("trust"), at.isNull().alias("late"), F.coalesce(at, F.lit(0)).alias("at"), F.coalesce(fields, F.create_map().cast("map<string,string>")).alias("fields"))
+    return one.select("item_id", "sid", F.coalesce("r.annotation_count", F.lit(0)).cast("long").alias("trust"), at.isNull().alias("late"), F.coalesce(at, F.lit(0)).alias("at"), cells.alias("cells"))
 
 
 def skyline(src: DataFrame) -> DataFrame:
-    """(item_id, sid, trust, late, at, complete, n_sources): the undominated records of each item."""
-    order = F.struct("late", "at", "sid")
-    levels = src.groupBy("item_id", "trust", F.size("fields").alias("complete")).agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n"))
-    # The levels of an item, not its records, meet here: at most its distinct (trust, completeness) pairs.
-    met = levels.groupBy("item_id").agg(F.collect_list(F.struct("trust", "complete", "o")).alias("all"), F.sum("n").alias("n_sources"))
-    dominates = lambda y, x: (y["trust"] >= x["trust"]) & (y["complete"] >= x["complete"]) & (y["o"] < x["o"])
-    front = F.filter("all", lambda x: ~F.exists("all", lambda y: dominates(y, x)))
-    return met.select("item_id", F.explode(front).alias("x"), "n_sources").select("item_id", "x.trust", "x.complete", "x.o.*", "n_sources")
+    """(item_id, sid, trust, late, at, complete, cells): the undominated records of each item."""
+    first = F.min(F.struct("late", "at", "sid", "cells")).alias("o")
+    levels = src.groupBy("item_id", "trust", F.size("cells").alias("complete")).agg(first)
+    own = F.col("c") == F.col("complete")
+    laid = levels.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("complete")))).select("item_id", "trust", "complete", "c", "o.late", "o.at", "o.sid", F.when(own, F.col("o.cells")).alias("cells"))
+    before = F.max("trust").over(Window.partitionBy("item_id", "c").orderBy("late", "at", "sid").rowsBetween(Window.unboundedPreceding, -1))
+    front = laid.withColumn("before", before).filter(own & (F.col("before").isNull() | (F.col("trust") > F.col("before"))))
+    return front.select("item_id", "sid", "trust", "late", "at", "complete", "cells")
 
 
 def representatives(sky: DataFrame) -> DataFrame:
-    """(item_id, sid, n_sources): the lexicographic policy over the skyline."""
-    best = F.min(F.struct((-F.col("trust")).alias("t"), "late", "at", "sid")).alias("b")
-    return sky.groupBy("item_id").agg(best, F.max("n_sources").alias("n_sources")).select("item_id", F.col("b.sid").alias("sid"), "n_sources")
+    """(item_id, sid, cells): the lexicographic policy over the skyline."""
+    best = F.min(F.struct((-F.col("trust")).alias("t"), "late", "at", "sid", "cells")).alias("b")
+    return sky.groupBy("item_id").agg(best).select("item_id", "b.sid", "b.cells")
+
+
+def layers(src: DataFrame, reps: DataFrame) -> DataFrame:
+    """(item_id, sid, n_sources, layers): the representative's record, then the first record with each set of real fields, by recency; sid: the representative."""
+    names = F.transform("cells", lambda x: x["key"])
+    shapes = src.groupBy("item_id", names.alias("names")).agg(F.min(F.struct("late", "at", "sid", "cells")).alias("o"), F.count(F.lit(1)).alias("n"))
+    met = shapes.groupBy("item_id").agg(F.array_sort(F.collect_list("o")).alias("all"), F.sum("n").alias("n_sources"))
+    one = lambda sid, cells: F.struct(sid.alias("sid"), cells.alias("cells"))
+    joined = reps.join(met, "item_id")
+    return joined.select("item_id", "sid", "n_sources", F.concat(F.array(one(F.col("sid"), F.col("cells"))), F.transform("all", lambda o: one(o["sid"], o["cells"]))).alias("layers"))
 
 
-def filled(src: DataFrame, reps: DataFrame) -> DataFrame:
-    """(item_id, field_name, sid, value) of every field for which some record has a real value."""
-    cells = src.select("item_id", "sid", F.lit(1).alias("rank"), "late", "at", F.explode("fields").alias("field_name", "value"))
-    first = reps.select("item_id", "sid").join(src, ["item_id", "sid"]).select("item_id", "sid", F.lit(0).alias("rank"), "late", "at", F.explode("fields").alias("field_name", "value"))
-    # `first` has one record per item and its join key holds the record's id, so no item's records meet in one task.
-    pick = F.min(F.struct("rank", "late", "at", "sid", "value")).alias("p")
-    return cells.unionByName(first).groupBy("item_id", "field_name").agg(pick).select("item_id", "field_name", "p.sid", "p.value")
+def filled(stacked: DataFrame) -> DataFrame:
+    """(item_id, field_name, sid, value, n_sources) of every field for which some record has a real value: from the first layer that has one."""
 
+    def fill(done: Column, layer: Column) -> Column:
+        known = F.transform(done, lambda x: x["field_name"])
+        new = F.filter(layer["cells"], lambda x: ~F.array_contains(known, x["key"]))
+        return F.concat(done, F.transform(new, lambda x: F.struct(x["key"].alias("field_name"), layer["sid"].alias("sid"), x["value"].alias("value"))))
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    empty = F.array().cast("array<struct<field_name:string,sid:bigint,value:string>>")
+    return stacked.select("item_id", "n_sources", F.explode(F.aggregate("layers", empty, fill)).alias("x")).select("item_id", "x.*", "n_sources")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     src = cut(sources(table(spark, sf_dir, "item_sources")))
-    sky = cut(skyline(src))
-    return src, sky, representatives(sky)
+    return src, skyline(src)
+
+
+def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src, sky = _parts(spark, sf_dir)
+    return cut(layers(src, representatives(sky)))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src, _, reps = _parts(spark, sf_dir)
-    many = reps.filter("n_sources > 1")
+    many = _stacked(spark, sf_dir).filter("n_sources > 1")
     whole = many.select("item_id", F.lit("*").alias("field_name"), F.col("sid").alias("source_item_id"))
-    cells = filled(src, reps).join(many.select("item_id"), "item_id", "left_semi")
-    return whole.unionByName(cells.select("item_id", "field_name", F.col("sid").alias("source_item_id")))
+    return whole.unionByName(filled(many).select("item_id", "field_name", F.col("sid").alias("source_item_id")))
 
 
 def p6_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +111,12 @@ def p6_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """items with canonical_source_item_id and metadata_json set right: the survivor's id, and every field from the record it is taken from, as JSON in the order of names. Items without source records keep what they have."""
-    src, _, reps = _parts(spark, sf_dir)
-    cells = filled(src, reps).groupBy("item_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "value"))))).alias("metadata"))
-    fixed = reps.select("item_id", "sid").join(cells, "item_id", "left").withColumnRenamed("item_id", "id").withColumn("has", F.lit(True))
-    items = table(spark, sf_dir, "items").select("id", "canonical_source_item_id", "metadata_json", "title", "item_type").dropDuplicates(["id"])
+    """items with canonical_source_item_id and metadata_json set right: the survivor's id, and every field from the record it is taken from, as JSON in the order of names. Items without source records keep what they have; of repeated rows with other content the smallest by value counts."""
+    stacked = _stacked(spark, sf_dir)
+    cells = filled(stacked).groupBy("item_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "value"))))).alias("metadata"))
+    fixed = stacked.select("item_id", "sid").join(cells, "item_id", "left").withColumnRenamed("item_id", "id").withColumn("has", F.lit(True))
+    columns = ["canonical_source_item_id", "metadata_json", "title", "item_type"]
+    items = table(spark, sf_dir, "items").groupBy("id").agg(F.min(F.struct(*columns)).alias("r")).select("id", "r.*")
     has = F.coalesce("has", F.lit(False))
     return items.join(fixed, "id", "left").select("id", F.when(has, F.col("sid")).otherwise(F.col("canonical_source_item_id")).alias("canonical_source_item_id"), F.when(has, F.coalesce("metadata", F.lit("{}"))).otherwise(F.col("metadata_json")).alias("metadata_json"), "title", "item_type")
 
@@ -119,6 +140,9 @@ picked AS (
 """
 QUERIES = {"p6_found": p6_found, "p6_skyline": p6_skyline, "p6_items": p6_items}
 SQL = {
+    "p6_items": _BASE + """, m AS (SELECT item_id, '{' || string_agg(to_json(field_name)::VARCHAR || ':' || to_json(value)::VARCHAR, ',' ORDER BY field_name) || '}' AS metadata FROM picked GROUP BY item_id)
+SELECT i.id, coalesce(rep.sid, canonical_source_item_id) AS canonical_source_item_id, CASE WHEN rep.sid IS NULL THEN metadata_json ELSE coalesce(m.metadata, '{}') END AS metadata_json, title, item_type
+FROM (SELECT DISTINCT id, canonical_source_item_id, metadata_json, title, item_type FROM items) i LEFT JOIN rep ON rep.item_id = i.id LEFT JOIN m ON m.item_id = i.id""",
     "p6_found": _BASE + "SELECT item_id, '*' AS field_name, sid AS source_item_id FROM rep JOIN many USING (item_id) UNION ALL SELECT item_id, field_name, sid FROM picked JOIN many USING (item_id)",
     "p6_skyline": _BASE + f""", p AS (SELECT s.item_id, s.sid, trust, at_, (SELECT count(*) FROM cells c WHERE c.item_id = s.item_id AND c.sid = s.sid AND value IS NOT NULL AND {_REAL}) AS n FROM s)
 SELECT item_id, sid AS source_item_id, trust AS annotation_count, n AS n_real_fields FROM p WHERE NOT EXISTS (
