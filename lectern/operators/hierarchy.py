@@ -1,7 +1,8 @@
 """Problem 4: parent pointers to paths, depths, roots and descendants, with cycles named.
 
 Pointer doubling: every open node takes over its pointer's own pointer and path, so the distance doubles with each
-round and a tree of depth d is done after log2(d) rounds. Nodes that a round leaves open when it closes none lead into a cycle. Among
+round and a tree of depth d is done after log2(d) rounds. A round carries open nodes only: what it closes is stored once and read again just for the
+nodes that a pointer of the next round names. Nodes that a round leaves open when it closes none lead into a cycle. Among
 those, doubling goes on without paths until the set of pointers no longer shrinks; it is then exactly the cycles.
 
 Defined cases: a row without id is left out; of rows with one id the smallest by value counts; a null name is empty; a parent
@@ -10,6 +11,8 @@ that is not in the table gives `lost_parent`; a node that is its own parent is a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut, table
@@ -32,17 +35,22 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, name_col: str) ->
     state = nodes.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(r.alias("r"))
     state = cut(state.select("id", F.col("r.parent").alias("ptr"), F.lit(False).alias("lost"), F.array("id").alias("ids"), F.array("r.name").alias("names")))
     is_open = F.col("ptr").isNotNull() & ~F.col("lost")
-    left = state.filter(is_open).count()
+    closed, open_ = [state.filter(~is_open)], state.filter(is_open)
+    left = open_.count()
     while left:
-        state = cut(state.filter(~is_open).unionByName(_double(state.filter(is_open), state)))
-        before, left = left, state.filter(is_open).count()
+        wanted = open_.select(F.col("ptr").alias("id")).distinct()
+        named = reduce(DataFrame.unionByName, [*closed, open_]).join(wanted, "id", "left_semi")
+        state = cut(_double(open_, named))
+        closed, open_ = [*closed, state.filter(~is_open)], state.filter(is_open)
+        before, left = left, open_.count()
         if left == before:
             break
     empty = F.array()
-    done = state.filter(~is_open).select("id", F.when(F.col("lost"), "lost_parent").otherwise("rooted").alias("status"), F.when(F.col("lost"), empty.cast("array<bigint>")).otherwise(F.col("ids")).alias("ids"), F.when(F.col("lost"), empty.cast("array<string>")).otherwise(F.col("names")).alias("names"))
+    shut = reduce(DataFrame.unionByName, closed)
+    done = shut.select("id", F.when(F.col("lost"), "lost_parent").otherwise("rooted").alias("status"), F.when(F.col("lost"), empty.cast("array<bigint>")).otherwise(F.col("ids")).alias("ids"), F.when(F.col("lost"), empty.cast("array<string>")).otherwise(F.col("names")).alias("names"))
     if not left:
         return done
-    jump = state.filter(is_open).select("id", "ptr")
+    jump = open_.select("id", "ptr")
     images, before = jump.select("ptr").distinct().count(), -1
     while images != before:
         b = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("b_ptr"))
