@@ -386,7 +386,20 @@ def test_suffix_automaton_against_brute_force():
     r = random.Random(9)
     for _ in range(200):
         s = [r.choice("abc") for _ in range(r.randint(0, 25))]
-        assert p10.repeated_cover(s).tolist() == brute_cover(s), s
+        assert p10.deepest_repeats(np.array([ord(c) for c in s], np.int64), np.zeros(len(s), np.int64)).tolist() == brute_cover(s), s
+    many = [[r.choice("ab") for _ in range(r.randint(0, 12))] for _ in range(40)]  # documents of a batch don't see each other
+    got = p10.deepest_repeats(np.array([ord(c) for s in many for c in s], np.int64), np.repeat(np.arange(40), [len(s) for s in many]))
+    assert got.tolist() == [x for s in many for x in brute_cover(s)]
+
+
+def test_symbols_and_batches(monkeypatch):
+    text = "Une  été_à 12,5 % — ΑΒΓ x²\n"
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    starts, ends, ids = p10.symbols_of(codes, np.zeros(len(text), np.int64))
+    assert [text[a:b] for a, b in zip(starts, ends)] == ["Une", "été", "_", "à", "12", ",", "5", "%", "—", "ΑΒΓ", "x²"] and ids[4] == ids[6] and len(set(ids.tolist())) == 10
+    whole = p10.features(SPAM + HAM + ["", "one", "SPAM spam"])
+    monkeypatch.setattr(p10, "BATCH", 1)
+    assert p10.features(SPAM + HAM + ["", "one", "SPAM spam"]) == whole
 
 
 SPAM = ["buy essay, cheap essay, essay help, buy essay, " * 12, "\n".join(f"https://shop.example/essay-{i}" for i in range(20)), " ".join(f"#essay_help{i} #cheap_essay" for i in range(20)), "Buy essay template. Cheap essay help! Top essay template!! " * 6]
