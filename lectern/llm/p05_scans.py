@@ -2,17 +2,23 @@
 
 Running lines and page numbers: outermost lines of each page (and the next ones beside a number that stands alone) are reduced to keys; a key that recurs in its attachment is a running line, and the
 commonest distance between printed and counted page number gives each page's expected number. Both are counted in partial aggregates.
-Misread words: every word of the corpus enters a frequency lexicon. A symmetric-delete index over it takes out, on either side, up to two units of
-a confusion pair (`ri` here, `n` there) and leaves a mark for the pair, so words meet whose difference is made of confusions; a weighted
-edit distance with these pairs and the ratio of frequencies confirm candidates, and the counts of the word pairs before and after it pick among several.
+Misread words: every word of the corpus enters a frequency lexicon. A symmetric-delete index over it takes out, on either side, any one letter, or up to
+two units of a confusion pair (`ri` here, `n` there), which leave the mark of their pair. Words that meet are weighed by an edit distance in which confusions
+cost little and any other edit 1, and by the ratio of their frequencies, which is not asked of a word with signs, digits or foreign letters in it. The counts of the word pairs before and
+after the place pick among several candidates, and must support a candidate that needs another edit than confusions. A word with signs or digits in it whose repair is no word of the lexicon is looked up
+by parts: its unit with a letter to either side must occur, as printed, in other words.
 Broken words: a word divided at a line end is joined unless the corpus writes it with the hyphen.
 
+Each text is read by Python once, which gives its body, words, divided words and compounds; all else works on these arrays.
+
 Defined cases: null, empty and blank texts have no noise and an empty text; rows without id are left out of p5_found; re-delivered rows count
-once; rows without attachment_id have no running lines or expected numbers; a page number that is null makes no expectation. Texts are read whole. Empty tables give no rows.
+once; rows without attachment_id have no running lines or expected numbers; a page number that is null makes no expectation. Texts are read whole. In words of more than LONG letters
+one unit can be misread, not two. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
@@ -21,6 +27,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,10 +43,17 @@ CONFUSIONS = (
     ("|", "i", 0.2), ("|", "l", 0.2), ("8", "b", 0.3), ("6", "b", 0.3), ("li", "h", 0.6), ("0", "о", 0.2), ("н", "и", 0.6), ("л", "п", 0.6), ("3", "з", 0.2), ("0", "ο", 0.2), ("v", "ν", 0.2),
     ("ο", "σ", 0.8), ("u", "υ", 0.3), ("p", "ρ", 0.3), ("a", "α", 0.3), ("o", "ο", 0.3), ("o", "о", 0.3), ("a", "а", 0.3), ("e", "е", 0.3),
 )
+#: Any other edit costs so much.
+EDIT_COST = 1.0
 MAX_COST = 1.3
 MAX_UNITS = 2
+LONG = 64
 #: A word can stand for a misread one if it is that frequent, and so many times as frequent as the other.
 LEAST_COUNT, RATIO = 4, 8
+#: A word of fewer letters has too many neighbours: it needs another ratio, and confusions only.
+SHORT, SHORT_RATIO = 4, 50
+#: A candidate by another edit than confusions must be so many times as frequent, and needs so many places where it stands beside the word before, and beside the word after.
+OTHER_RATIO, LEAST_SUPPORT = 50, 2
 #: A running line stands on two pages at least, on three in an attachment of more pages than this; a title may hold for one chapter of a long book only.
 FEW_PAGES = 16
 HYPHEN = "-‐‑\xad¬"
@@ -52,6 +67,8 @@ BREAK_INLINE = re.compile(rf"([^\W\d_]+)(?:[{HYPHEN}][ \t\r\n]+|[\xad¬])([^\W\d
 BREAK_END = re.compile(rf"([^\W\d_]{{2,}})[{HYPHEN}]\s*\Z")
 SUSPENDED = {"und", "oder", "bis", "sowie", "and", "or", "to", "et", "ou", "i", "lub", "oraz", "та", "і", "και", "ή"}
 TOKEN = re.compile(r"[^\W_]+(?:[@|][^\W_]+)*(?:[@|](?=\W|$))?|[@|][^\W_]{2,}")
+COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
+READ = "source_table string,record_id bigint,body string,header boolean,page_number boolean,inline boolean,words array<string>,divided array<struct<a:string,b:string>>,compounds array<string>"
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 DIGITS = str.maketrans("loiszbg|", "10152691")
 
@@ -243,44 +260,65 @@ def whole_words(text: str, inline: bool) -> str:
 def words(text: str, inline: bool) -> list[str]:
     t = whole_words(text, inline)
     t = re.sub(rf"^\s*[^\W\d_]*[a-zà-ÿ][^\W\d_]*(?=\W)|[^\W\d_]+[{HYPHEN}]\s*\Z", lambda m: "" if m.group().lstrip()[:1].islower() or m.start() else m.group(), t)
-    return [m.group().lower() for m in TOKEN.finditer(t)]
+    return TOKEN.findall(t.lower())
+
+
+def _script(c: str) -> int:
+    return 0 if not c.isalpha() else 1 if c < "\u0370" else 2 if c < "\u0400" else 3
 
 
 def odd(word: str) -> bool:
-    """Signs or foreign letters inside a word that can't be printed so."""
-    letters = sum(c.isalpha() for c in word)
-    if letters < 3:
-        return False
-    if re.search(r"[^\W\d_][@|0139][^\W\d_]|[^\W\d_]{3}[@|]$|^[@|][^\W\d_]{3}|^[^\W\d_]{3,}[019]$|^[0153][^\W\d_]{3,}$", word) and sum(c.isdigit() for c in word) <= 2:
-        return True
-    latin = sum("a" <= c <= "z" for c in word)
-    return 0 < latin < letters and any("α" <= c <= "ω" or "а" <= c <= "ё" for c in word) and latin <= 2
-
-
-def cost(read: str, printed: str, limit: float = MAX_COST) -> float:
-    """Weighted edit distance: confusion pairs at their cost, anything else at 2."""
-    n, m = len(read), len(printed)
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0
-    for i in range(n + 1):
-        for j in range(m + 1):
-            b = best[i, j]
-            if b > limit:
-                continue
-            if i < n and j < m and read[i] == printed[j]:
-                best[i + 1, j + 1] = min(best[i + 1, j + 1], b)
-            for x, y, c in CONFUSIONS:
-                if read.startswith(x, i) and printed.startswith(y, j):
-                    best[i + len(x), j + len(y)] = min(best[i + len(x), j + len(y)], b + c)
-    return float(best[n, m])
+    """Signs, digits or letters of another script inside a word of three letters or more."""
+    kinds = [_script(c) for c in word]
+    letters = len(kinds) - kinds.count(0)
+    return letters >= 3 and (0 < kinds.count(0) <= 2 or len(set(kinds) - {0}) > 1)
+
+
+@functools.cache
+def _pairs() -> dict[str, list[tuple[str, str, float]]]:
+    """The confusion pairs by the first character as read."""
+    out: dict[str, list] = {}
+    for x, y, c in CONFUSIONS:
+        out.setdefault(x[0], []).append((x, y, c))
+    return out
+
+
+def cost(read: str, printed: str, limit: float = MAX_COST) -> tuple[float, bool]:
+    """Weighted edit distance: confusion pairs at their cost, any other edit at EDIT_COST; and whether it holds another edit. Infinite beyond the limit.
+
+    The two sides of a pair begin with different characters, so what is equal can be passed over."""
+
+    def walk(i: int, j: int, left: float) -> tuple[float, bool]:
+        while i < len(read) and j < len(printed) and read[i] == printed[j]:
+            i, j = i + 1, j + 1
+        if i == len(read) and j == len(printed):
+            return 0.0, False
+        best = (np.inf, False)
+        for x, y, c in _pairs().get(read[i], ()) if i < len(read) else ():
+            if c <= left + 1e-9 and read.startswith(x, i) and printed.startswith(y, j):
+                d, other = walk(i + len(x), j + len(y), left - c)
+                best = min(best, (round(c + d, 6), other))
+        if EDIT_COST <= left + 1e-9:
+            for a, b in ((1, 1), (1, 0), (0, 1)):
+                if i + a <= len(read) and j + b <= len(printed):
+                    d, _ = walk(i + a, j + b, left - EDIT_COST)
+                    best = min(best, (EDIT_COST + d, True))
+        return best
+
+    return walk(0, 0, limit)
+
+
+def spots(word: str, side: int) -> list[tuple[int, int, int]]:
+    """(start, end, pair) of the units of confusion pairs in a word. side: 0 as read, 1 as printed."""
+    return sorted((i, i + len(pair[side]), k) for k, pair in enumerate(CONFUSIONS) if pair[side] in word for i in range(len(word)) if word.startswith(pair[side], i))
 
 
 def index_keys(word: str, side: int) -> set[str]:
-    """The word with one to MAX_UNITS units of confusion pairs taken out, each leaving the mark of its pair. side: 0 as read, 1 as printed."""
-    spots = [(i, i + len(pair[side]), k) for k, pair in enumerate(CONFUSIONS) for i in range(len(word)) if word.startswith(pair[side], i)]
-    out = set()
-    for r in range(1, MAX_UNITS + 1):
-        for take in itertools.combinations(sorted(spots), r):
+    """The word, the word without any one letter, and with one to MAX_UNITS units of confusion pairs taken out, each leaving the mark of its pair."""
+    out = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > SHORT else set()
+    own = spots(word, side)
+    for r in range(1, (MAX_UNITS if len(word) <= LONG else 1) + 1):
+        for take in itertools.combinations(own, r):
             if all(a[1] <= b[0] for a, b in zip(take, take[1:])):
                 w = word
                 for a, z, k in reversed(take):
@@ -289,30 +327,67 @@ def index_keys(word: str, side: int) -> set[str]:
     return out
 
 
+def _hash(key: str) -> int:
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 def repairs(lexicon: DataFrame) -> DataFrame:
-    """(word, printed, cost, n_printed): candidates of the words of a lexicon (word, n)."""
+    """(word, printed, cost, other, n_printed): candidates of the words of a lexicon (word, n). other: by another edit than confusions."""
 
     def keyed(side: int):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                rows = [(k, w, n) for w, n in zip(f["word"], f["n"]) for k in index_keys(w, side)]
-                yield pd.DataFrame(rows, columns=["key", "word", "n"])
+                rows = [(_hash(k), w, n, o) for w, n in zip(f["word"], f["n"]) if (o := odd(w)) or w.isalpha() for k in index_keys(w, side)]
+                yield pd.DataFrame(rows, columns=["key", "word", "n", "odd"])
 
         return run
 
     def weighed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(cost=[cost(a, b) for a, b in zip(f["word"], f["printed"])])
+            made = [cost(a, b) for a, b in zip(f["word"], f["printed"])]
+            yield f.assign(cost=[c for c, _ in made], other=[o for _, o in made])
 
-    some = lexicon.filter((F.length("word") >= 4) & (F.length("word") <= 40))
-    wrong = some.mapInPandas(keyed(0), "key string,word string,n bigint")
-    right = some.filter((F.col("n") >= LEAST_COUNT) & ~F.col("word").rlike("[0-9@|]")).mapInPandas(keyed(1), "key string,word string,n bigint")
-    met = wrong.join(right.select("key", F.col("word").alias("printed"), F.col("n").alias("n_printed")), "key").filter((F.col("word") != F.col("printed")) & (F.col("n_printed") >= RATIO * F.col("n")))
-    return met.select("word", "printed", "n_printed").distinct().mapInPandas(weighed, "word string,printed string,n_printed bigint,cost double").filter(F.col("cost") <= MAX_COST)
+    schema = "key bigint,word string,n bigint,odd boolean"
+    wrong = lexicon.mapInPandas(keyed(0), schema)
+    right = lexicon.filter(~F.col("word").rlike("[0-9@|]")).mapInPandas(keyed(1), schema).filter("NOT odd")
+    right = right.select("key", F.col("word").alias("printed"), F.col("n").alias("n_printed"))
+    often = (F.col("n_printed") >= LEAST_COUNT) & (F.col("n_printed") >= F.when(F.length("word") < SHORT, SHORT_RATIO).otherwise(RATIO) * F.col("n"))
+    met = skew_join(wrong, right, ["key"]).filter((F.col("word") != F.col("printed")) & (F.col("odd") | often))
+    near = met.select("word", "printed", "n_printed").distinct().mapInPandas(weighed, "word string,printed string,n_printed bigint,cost double,other boolean")
+    return near.join(lexicon, "word").filter((F.col("cost") <= MAX_COST) & (~F.col("other") | (F.col("n_printed") >= OTHER_RATIO * F.col("n")))).drop("n")
+
+
+def part_repairs(lexicon: DataFrame, known: DataFrame) -> DataFrame:
+    """As repairs, for odd words that have no candidate: units between two letters that other words have, as printed, at least LEAST_COUNT words for each."""
+
+    def windows(side: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = []
+                for w in f["word"]:
+                    if odd(w) != (side == 0):
+                        continue
+                    padded = f"^{w}$"
+                    for a, z, k in spots(w, side):
+                        unit = w[a:z]
+                        beside = {_script(c) for c in (padded[a], padded[z + 1]) if c.isalpha()}
+                        if side or not unit.isalpha() or beside and _script(unit[0]) not in beside:
+                            rows.append((f"{padded[a]}\x00{chr(0xE000 + k)}{padded[z + 1]}", w, w[:a] + CONFUSIONS[k][1] + w[z:] if not side else "", CONFUSIONS[k][2]))
+                yield pd.DataFrame(rows, columns=["key", "word", "printed", "cost"])
+
+        return run
+
+    schema = "key string,word string,printed string,cost double"
+    lone = lexicon.filter(~F.col("word").rlike(r"^\p{L}+$") | F.col("word").rlike("[a-z]") & F.col("word").rlike(r"[\u0370-\u04ff]")).join(known.select("word").distinct(), "word", "left_anti")
+    n = lexicon.select("word").mapInPandas(windows(1), schema).groupBy("key").agg(F.count_distinct("word").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    met = lone.select("word").mapInPandas(windows(0), schema).join(n, "key")  # one row of n for each pair of letters around a pair
+    best = F.max(F.struct("n", (-F.col("cost")).alias("c"), "printed")).alias("b")
+    return met.groupBy("word").agg(best).select("word", "b.printed", F.lit(0).cast("bigint").alias("n_printed"), (-F.col("b.c")).alias("cost"), F.lit(False).alias("other"))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_table, record_id, body, header, page_number, inline) of every row with a text."""
+    """(source_table, record_id, body, header, page_number, inline, words, divided, compounds) of every row with a text."""
     pages, blocks = table(spark, sf_dir, "document_pages"), table(spark, sf_dir, "clean_document_blocks")
     known = cut(attachments(pages))
     p = pages.select(F.lit("document_pages").alias("source_table"), F.col("id").alias("record_id"), "attachment_id", F.col("page_number").cast("int").alias("first"), F.col("page_number").cast("int").alias("last"), "text")
@@ -325,40 +400,24 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
             for t, i, a, z, text, keys, d in zip(f["source_table"], f["record_id"], f["first"], f["last"], f["text"], f["keys"], f["distance"]):
                 keys, d, a, z = [] if keys is None else list(keys), as_int(d), as_int(a), as_int(z)
                 page = t == "document_pages"
-                out.append((t, i, *(clean_page(text, a, keys, d) if page else clean_block(text, a, z, keys, d)), not page))
-            yield pd.DataFrame(out, columns=["source_table", "record_id", "body", "header", "page_number", "inline"])
+                body, header, number = clean_page(text, a, keys, d) if page else clean_block(text, a, z, keys, d)
+                divided = [{"a": x.lower(), "b": y.lower()} for x, y in set(breaks(body, not page))]
+                out.append((t, i, body, header, number, not page, words(body, not page), divided, [re.sub("[‐‑]", "-", m.group().lower()) for m in COMPOUND.finditer(body)]))
+            yield pd.DataFrame(out, columns=["source_table", "record_id", "body", "header", "page_number", "inline", "words", "divided", "compounds"])
 
     rows = p.unionByName(b).filter("record_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["source_table", "record_id"])
-    return skew_join(rows, known, ["attachment_id"], "left").mapInPandas(run, "source_table string,record_id bigint,body string,header boolean,page_number boolean,inline boolean")
+    return skew_join(rows, known, ["attachment_id"], "left").mapInPandas(run, READ)
 
 
 def _counted(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lexicon (word, n) and written compounds (word, n)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            counts: dict[tuple[str, str], int] = {}
-            for t, inline in zip(f["body"], f["inline"]):
-                for w in words(t, inline):
-                    counts["w", w] = counts.get(("w", w), 0) + 1
-                for m in re.finditer(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+", t):
-                    w = re.sub("[‐‑]", "-", m.group().lower())
-                    counts["c", w] = counts.get(("c", w), 0) + 1
-            yield pd.DataFrame([(k, w, n) for (k, w), n in counts.items()], columns=["kind", "word", "n"])
-
-    both = cut(bodies.mapInPandas(run, "kind string,word string,n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n")))
-    return both.filter("kind = 'w'").drop("kind"), both.filter("kind = 'c'").drop("kind")
+    n = F.count(F.lit(1)).alias("n")
+    return cut(bodies.select(F.explode("words").alias("word")).groupBy("word").agg(n)), bodies.select(F.explode("compounds").alias("word")).groupBy("word").agg(n)
 
 
 def _broken(bodies: DataFrame, lexicon: DataFrame, compounds: DataFrame) -> DataFrame:
     """(source_table, record_id, word, is_compound) of words divided at line ends."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(t, i, a.lower(), b.lower()) for t, i, body, inline in zip(f["source_table"], f["record_id"], f["body"], f["inline"]) for a, b in set(breaks(body, inline))]
-            yield pd.DataFrame(rows, columns=["source_table", "record_id", "a", "b"])
-
-    found = bodies.mapInPandas(run, "source_table string,record_id bigint,a string,b string")
+    found = bodies.select("source_table", "record_id", F.explode("divided").alias("x")).select("source_table", "record_id", "x.a", "x.b")
     found = cut(found.withColumn("joined", F.concat("a", "b")).withColumn("hyphened", F.concat_ws("-", "a", "b")))
     known = lexicon.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     comps = compounds.select(F.col("word").alias("hyphened"), F.col("n").alias("n_hyphened"))
@@ -367,75 +426,62 @@ def _broken(bodies: DataFrame, lexicon: DataFrame, compounds: DataFrame) -> Data
     return j.select("source_table", "record_id", F.col("hyphened").alias("word"), (F.coalesce("n_hyphened", F.lit(0)) * 2 > F.coalesce("n_joined", F.lit(0))).alias("is_compound"))
 
 
-def _suspects(bodies: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(source_table, record_id, word, before, after) of places whose word has candidates or can't be printed so."""
-    wrong = cut(candidates.select("word").distinct().withColumn("h", F.xxhash64("word")))
-    shared = bodies.sparkSession.sparkContext.broadcast(bloom.build(wrong, "h", wrong.count()))
+def places(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (source_table, record_id, items array<string>) -> (source_table, record_id, item, before, after) of items that wanted (item) holds: a Bloom filter by batch, then an exact join."""
+    known = cut(wanted.distinct().withColumn("h", F.xxhash64("item")))
+    shared = rows.sparkSession.sparkContext.broadcast(bloom.build(known, "h", known.count()))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for t, i, body, inline in zip(f["source_table"], f["record_id"], f["body"], f["inline"]):
-                ws = words(body, inline)
-                if not ws:
-                    continue
-                h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in ws), np.uint64, len(ws))
-                likely = np.ones(len(ws), bool) if shared.value is None else bloom.might_contain(shared.value, h)
-                rows += [(t, i, w, ws[k - 1] if k else "", ws[k + 1] if k + 1 < len(ws) else "", o) for k, w in enumerate(ws) if (o := odd(w)) or likely[k]]
-            yield pd.DataFrame(rows, columns=["source_table", "record_id", "word", "before", "after", "odd"]).drop_duplicates()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items, h = b.column("items"), b.column("h")
+            flat, row = items.flatten(), pc.list_parent_indices(items).to_numpy()
+            hashes = h.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            at = np.arange(len(flat)) if shared.value is None else np.flatnonzero(bloom.might_contain(shared.value, hashes))
+            take = lambda by, flat=flat, row=row, at=at: pc.fill_null(flat.take(pa.array(np.clip(at + by, 0, max(0, len(flat) - 1)), mask=(at + by < 0) | (at + by >= len(flat)) | (row[np.clip(at + by, 0, max(0, len(flat) - 1))] != row[at]) if len(at) else None)), "")
+            yield pa.RecordBatch.from_arrays([b.column("source_table").take(pa.array(row[at])), b.column("record_id").take(pa.array(row[at])), take(0), take(-1), take(1)], ["source_table", "record_id", "item", "before", "after"])
 
-    places = cut(bodies.mapInPandas(run, "source_table string,record_id bigint,word string,before string,after string,odd boolean"))
-    return skew_join(places, wrong.select("word", F.lit(True).alias("known")), ["word"], "left").filter("known OR odd").drop("known")
+    hashed = rows.select("source_table", "record_id", "items", F.transform("items", lambda x: F.xxhash64(x)).alias("h"))
+    found = hashed.mapInArrow(run, "source_table string,record_id bigint,item string,before string,after string")
+    return skew_join(found, known.select("item"), ["item"], "left_semi")
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bodies, divided words, and repairs of misread words."""
     bodies = cut(cleaned(spark, sf_dir))
     lexicon, compounds = _counted(bodies)
-    candidates = cut(repairs(lexicon))
-    return bodies, candidates, _broken(bodies, lexicon, compounds), _suspects(bodies, candidates)
+    whole = cut(repairs(lexicon))
+    candidates = cut(whole.unionByName(part_repairs(lexicon, whole.filter("NOT other"))))
+    return bodies, _broken(bodies, lexicon, compounds), chosen(bodies, candidates)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies, _, broken, suspects = _parts(spark, sf_dir)
+    bodies, broken, fixes = _parts(spark, sf_dir)
     case = lambda df, noise: df.select("source_table", "record_id", F.lit(noise).alias("noise"))
-    return case(bodies.filter("header"), "header").unionByName(case(bodies.filter("page_number"), "page_number")).unionByName(case(broken.filter("NOT is_compound"), "hyphen")).unionByName(case(suspects, "misread")).distinct()
+    return case(bodies.filter("header"), "header").unionByName(case(bodies.filter("page_number"), "page_number")).unionByName(case(broken.filter("NOT is_compound"), "hyphen")).unionByName(case(fixes, "misread")).distinct()
 
 
 def p5_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_table, record_id, word, printed): the repair of every misread place; among candidates the word pairs it would make, then the cost, then the frequency decide."""
-    bodies, candidates, _, suspects = _parts(spark, sf_dir)
-    return chosen(bodies, candidates, suspects)
-
+    return _parts(spark, sf_dir)[2]
 
-def chosen(bodies: DataFrame, candidates: DataFrame, suspects: DataFrame) -> DataFrame:
-    open_ = cut(skew_join(suspects, candidates, ["word"]))
-    pairs = open_.select(F.concat_ws(" ", "before", "printed").alias("pair")).unionByName(open_.select(F.concat_ws(" ", "printed", "after").alias("pair"))).distinct()
-    wanted = cut(pairs.withColumn("h", F.xxhash64("pair")))
-    shared = bodies.sparkSession.sparkContext.broadcast(bloom.build(wanted, "h", wanted.count()))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            counts: dict[str, int] = {}
-            for body, inline in zip(f["body"], f["inline"]):
-                ws = words(body, inline)
-                made = [f"{a} {b}" for a, b in zip(ws, ws[1:])]
-                h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in made), np.uint64, len(made))
-                for k in np.flatnonzero(np.ones(len(made), bool) if shared.value is None else bloom.might_contain(shared.value, h)):
-                    counts[made[k]] = counts.get(made[k], 0) + 1
-            yield pd.DataFrame(list(counts.items()), columns=["pair", "n"])
-
-    n = bodies.mapInPandas(run, "pair string,n bigint").groupBy("pair").agg(F.sum("n").alias("n")).join(wanted.select("pair"), "pair", "left_semi")
+def chosen(bodies: DataFrame, candidates: DataFrame) -> DataFrame:
+    suspects = places(bodies.select("source_table", "record_id", F.col("words").alias("items")), candidates.select(F.col("word").alias("item"))).withColumnRenamed("item", "word").distinct()
+    open_ = cut(skew_join(cut(suspects), candidates, ["word"]))
+    pairs = open_.select(F.concat_ws(" ", "before", "printed").alias("item")).unionByName(open_.select(F.concat_ws(" ", "printed", "after").alias("item")))
+    made = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    n = cut(places(bodies.select("source_table", "record_id", made.alias("items")), pairs).groupBy("item").agg(F.count(F.lit(1)).alias("n")))
     w = open_.withColumn("p1", F.concat_ws(" ", "before", "printed")).withColumn("p2", F.concat_ws(" ", "printed", "after"))
-    w = w.join(n.select(F.col("pair").alias("p1"), F.col("n").alias("n1")), "p1", "left").join(n.select(F.col("pair").alias("p2"), F.col("n").alias("n2")), "p2", "left")
+    w = skew_join(skew_join(w, n.select(F.col("item").alias("p1"), F.col("n").alias("n1")), ["p1"], "left"), n.select(F.col("item").alias("p2"), F.col("n").alias("n2")), ["p2"], "left")
     support = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))
     best = F.min(F.struct((-support).alias("s"), "cost", (-F.col("n_printed")).alias("f"), "printed")).alias("b")
-    return w.groupBy("source_table", "record_id", "word").agg(best).select("source_table", "record_id", "word", "b.printed")
+    return w.filter(~F.col("other") | (F.col("n1") >= LEAST_SUPPORT) & (F.col("n2") >= LEAST_SUPPORT)).groupBy("source_table", "record_id", "word").agg(best).select("source_table", "record_id", "word", "b.printed")
 
 
 def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_table, record_id, clean_text): paragraphs without running lines and numbers, words joined and repaired."""
-    bodies, candidates, broken, suspects = _parts(spark, sf_dir)
-    fixes = chosen(bodies, candidates, suspects).groupBy("source_table", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "printed"))).alias("fixes"))
+    bodies, broken, repaired = _parts(spark, sf_dir)
+    fixes = repaired.groupBy("source_table", "record_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "printed"))).alias("fixes"))
     kept = broken.filter("is_compound").groupBy("source_table", "record_id").agg(F.collect_set("word").alias("compounds"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -459,7 +505,7 @@ def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"source_table": f["source_table"], "record_id": f["record_id"], "clean_text": out})
 
     keys = ["source_table", "record_id"]
-    return bodies.join(fixes, keys, "left").join(kept, keys, "left").mapInPandas(run, "source_table string,record_id bigint,clean_text string")
+    return bodies.select(*keys, "body", "inline").join(fixes, keys, "left").join(kept, keys, "left").mapInPandas(run, "source_table string,record_id bigint,clean_text string")
 
 
 QUERIES = {"p5_found": p5_found, "p5_repairs": p5_repairs, "p5_text": p5_text}

@@ -179,12 +179,26 @@ def test_titles_of_chapters_in_a_long_attachment(spark, write):
 
 def test_scan_parts():
     assert p5.number_of("xiv") == {14} and p5.number_of("l6O") == {160} and p5.number_of("abc") == set()
-    assert p5.cost("accourit", "account") == pytest.approx(0.5) and p5.cost("cat", "dog") == np.inf
+    assert p5.cost("accourit", "account") == (0.5, False) and p5.cost("cat", "dog")[0] == np.inf and p5.cost("hcuse", "house") == (1.0, True) and p5.cost("worlt", "world") == (1.0, True)
+    assert p5.cost("rnodcm", "modem") == (0.9, False) and p5.cost("archivess", "archives") == (1.0, True) and p5.cost("abc", "abc") == (0.0, False)
+    assert p5.index_keys("archivs", 0) & p5.index_keys("archives", 1) and len(p5.index_keys("rn" * 400, 0)) < 4_000
     assert p5.index_keys("accourit", 0) & p5.index_keys("account", 1) and not p5.index_keys("cat", 0) & p5.index_keys("dog", 1)
     assert p5.breaks("a well-\nknown har-\nvest Vor- \nund nach-", False) == [("well", "known"), ("har", "vest"), ("nach", "")]
     assert p5.odd("b@dania") and p5.odd("te0ria") and not p5.odd("1990s") and not p5.odd("abc")
 
 
+def test_repairs_by_context_and_by_parts(spark, write):
+    """Another edit than a confusion needs the words beside it; a word that stands nowhere else is repaired by its parts."""
+    page = lambda i, text: {"id": i, "attachment_id": i, "page_number": 1, "text": text}
+    pages = [page(i, "The clerk saw the ledger of the town and the harvest there.") for i in range(1, 120)]
+    pages += [page(200, "The clerk saw the lxdger of the town."), page(201, "A quite other lxdger altogether."), page(202, "He named it zolatharv3st and zoharv@logy."), page(203, "In 1990s 15 so is l5.")]
+    pages += [page(300 + i, f"The {w} stands.") for i, w in enumerate(("zovalor", "mavalon", "havalid", "qavaltur", "sevalmo"))]
+    d = write({"document_pages": pages})
+    got = {(r["record_id"], r["word"]): r["printed"] for r in p5.p5_repairs(spark, d).collect()}
+    assert got[200, "lxdger"] == "ledger" and (201, "lxdger") not in got and not [k for k in got if k[0] == 203]
+    assert got == {k: v for k, v in got.items() if k[0] in (200, 202)}
+
+
 # 6
 
 
