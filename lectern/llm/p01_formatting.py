@@ -3,7 +3,7 @@
 Each record is hashed as a stream through the skip-and-fold table (foldhash), fields with their own order:
 `text` as it stands; `doi` from the first `10.` on; `names` as a list of (first, last) pairs in order; `parts`
 split at `|` in any order; `label` compared exactly. Groups of equal hashes are verified against their smallest id
-by the two-pointer comparison; a row that differs from it in spite of equal hashes is regrouped by a second hash.
+by the two-pointer comparison; rows that differ from it in spite of equal hashes are hashed under other seeds, grouped and verified again, until none is left.
 
 Nulls equal empty values. Re-delivered rows count once (one row per id; of rows with one id and other content, any
 one, the smallest by value). Rows with a null id are left out. An empty table gives no rows.
@@ -11,6 +11,7 @@ one, the smallest by value). Rows with a null id are left out. An empty table gi
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -131,23 +132,30 @@ def copies(df: DataFrame, id_col: str, fields: tuple[Field, ...]) -> DataFrame:
         first = groups.join(rows.select(F.col("id").alias("first_id"), *[F.col(n).alias(f"r_{n}") for n in names]), "first_id")
         return skew_join(rows, first, ["h1", "h2"], "inner").mapInPandas(verified, f"{schema},h1 bigint,h2 bigint,first_id bigint,ok boolean")
 
-    once = grouped(rows)
-    # Equal hashes of different records: a second hash under other seeds, grouped within the first.
-    left = once.filter("NOT ok").select("id", *names).mapInPandas(lambda it: hashed(it, 1), f"{schema},h1 bigint,h2 bigint")
-    again = left.groupBy("h1", "h2").agg(F.min("id").alias("first_id"))
-    second = left.join(again, ["h1", "h2"]).select("id", F.col("first_id").alias("class_id"))
-    linked = once.filter("ok").select("id", F.col("first_id").alias("class_id")).unionByName(second)
+    linked, left, seed = [], rows, 0
+    while True:
+        once = cut(grouped(left))
+        linked.append(once.filter("ok").select("id", F.col("first_id").alias("class_id")))
+        if once.filter("NOT ok").isEmpty():
+            break
+        seed += 1  # the smallest id of each group is settled, so there are fewer every time
+        left = once.filter("NOT ok").select("id", *names).mapInPandas(functools.partial(hashed, seed=seed), f"{schema},h1 bigint,h2 bigint")
+    linked = functools.reduce(DataFrame.unionByName, linked)
     return rows.select("id").join(linked, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
 
 
+SOURCES = (("items", "id", RECORD), ("duplicate_groups", "item_id", KEY))
+
+
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct record of items once, with the number of its copies."""
-    return copies(table(spark, sf_dir, "items"), "id", RECORD).groupBy(F.col("class_id").alias("record_id")).agg(F.count(F.lit(1)).alias("n_copies"))
+    """Each distinct record of either table once, by its smallest id, with the number of its copies."""
+    parts = [copies(table(spark, sf_dir, t), k, f).groupBy(F.lit(t).alias("source_table"), F.col("class_id").alias("record_id")).agg(F.count(F.lit(1)).alias("n_copies")) for t, k, f in SOURCES]
+    return parts[0].unionByName(parts[1])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for name, key, fields in (("items", "id", RECORD), ("duplicate_groups", "item_id", KEY)):
+    for name, key, fields in SOURCES:
         c = copies(table(spark, sf_dir, name), key, fields)
         parts.append(c.filter("id <> class_id").select(F.lit(name).alias("source_table"), F.col("class_id").alias("first_id"), F.col("id").alias("other_id")))
     return parts[0].unionByName(parts[1])
@@ -162,5 +170,5 @@ _RECORDS = f"SELECT 'items' AS t, id, [{_S('title')}, {_DOI('doi')}, {_PEOPLE},
 _KEYS = f"SELECT 'duplicate_groups' AS t, item_id AS id, list_prepend(match_method, list_sort(list_transform(string_split(coalesce(match_key, ''), '|'), lambda x: {_DOI('x')}))) AS k FROM duplicate_groups"
 SQL = {
     "p1_found": f"WITH r AS (SELECT DISTINCT * FROM ({_RECORDS} UNION ALL {_KEYS})), g AS (SELECT *, min(id) OVER (PARTITION BY t, k) AS first_id FROM r) SELECT t AS source_table, first_id, id AS other_id FROM g WHERE id <> first_id",
-    "p1_classes": f"WITH r AS (SELECT DISTINCT * FROM ({_RECORDS})) SELECT min(id) AS record_id, count(*) AS n_copies FROM r GROUP BY k",
+    "p1_classes": f"WITH r AS (SELECT DISTINCT * FROM ({_RECORDS} UNION ALL {_KEYS})) SELECT t AS source_table, min(id) AS record_id, count(*) AS n_copies FROM r GROUP BY t, k",
 }
