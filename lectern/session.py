@@ -16,13 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; a private one only where none is named (tests)."""
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] in ("local", "local-cluster")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Where none is named, a private one in local mode (tests), an error on a cluster, whose executors share no private folder.
+
+    What was checkpointed is removed once nothing refers to it any more."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
