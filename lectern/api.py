@@ -12,20 +12,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as T
-from .operators import search as S
+from .operators import indexes as I, search as S
 from .plans import relational as R
 from .session import table
+from .sinks import generations as G
 
 
 @dataclass(frozen=True)
 class Filters:
-    """None means no restriction, an empty tuple nothing. Collections and days of publication hold for records of items, folders for those of the vault."""
+    """None means no restriction, an empty tuple nothing. Collections (0: items in none) and days of publication and addition hold for records of items, folders for those of the vault."""
 
     collections: tuple[int, ...] | None = None
     folders: tuple[str, ...] | None = None
     published_from: str | None = None
     published_to: str | None = None
     offset: int = 0
+    added_from: str | None = None
+    added_to: str | None = None
 
     @classmethod
     def parse(cls, raw: dict) -> Filters:
@@ -44,7 +47,7 @@ class Filters:
             offset = max(0, int(raw.get("offset", 0)))
         except (TypeError, ValueError):
             offset = 0
-        return cls(many(raw.get("collections"), int), many(raw.get("folders"), str), day(raw.get("from")), day(raw.get("to")), offset)
+        return cls(many(raw.get("collections"), int), many(raw.get("folders"), str), day(raw.get("from")), day(raw.get("to")), offset, day(raw.get("added_from")), day(raw.get("added_to")))
 
 
 class Cache:
@@ -71,12 +74,14 @@ class Cache:
 
 
 class Library:
-    """A library's tables under one folder. embed: query text to vector; without it, dense and hybrid requests fall back to BM25 with a reason."""
+    """A library's tables under one folder. embed: query text to vector; without it, dense and hybrid requests fall back to BM25 with a reason.
+
+    indexes: folder of the stored lexical indexes (refresh() fills it); requests read what is published there."""
 
     PAGE = 40
 
-    def __init__(self, spark: SparkSession, root: str, embed: Callable[[str], list[float]] | None = None):
-        self.spark, self.root, self.embed = spark, root, embed
+    def __init__(self, spark: SparkSession, root: str, embed: Callable[[str], list[float]] | None = None, indexes: str | None = None):
+        self.spark, self.root, self.embed, self.indexes = spark, root, embed, indexes
         self.reason: str | None = None
 
     def _table(self, name: str) -> DataFrame:
@@ -84,12 +89,15 @@ class Library:
 
     def _items(self, filters: Filters) -> DataFrame | None:
         """item_id of the items that pass; None without a restriction. An item without a readable date passes no restriction of days."""
-        if filters.collections is None and not filters.published_from and not filters.published_to:
+        if filters.collections is None and not any((filters.published_from, filters.published_to, filters.added_from, filters.added_to)):
             return None
-        out = self._table("items").select(F.col("id").alias("item_id"), "collections_json")
+        out = self._table("items").select(F.col("id").alias("item_id"), "collections_json", "date_added")
         if filters.collections is not None:
-            c = F.from_json("collections_json", "array<bigint>")
-            out = out.filter(F.arrays_overlap(c, F.array(*map(F.lit, filters.collections))) if filters.collections else F.lit(False))
+            c = F.coalesce(F.from_json("collections_json", "array<bigint>"), F.array().cast("array<bigint>"))
+            inside = F.arrays_overlap(c, F.array(*map(F.lit, filters.collections))) if filters.collections else F.lit(False)
+            out = out.filter(inside | (F.size(c) == 0) if 0 in filters.collections else inside)
+        if filters.added_from or filters.added_to:
+            out = out.filter(F.substring("date_added", 1, 10).between(filters.added_from or "", filters.added_to or "9999-12-31"))
         out = out.select("item_id").distinct()
         if filters.published_from or filters.published_to:
             days = R.run(self.spark, self.root, "date_interval")
@@ -142,6 +150,19 @@ class Library:
         order = ["place"] if "place" in page.columns else ["score", F.desc("key") if method == "dense" else "key"]
         return page.join(titles, ["kind", "key"], "left").orderBy(*order).select("kind", "key", "score", "title")
 
+    def refresh(self) -> dict:
+        """Store the lexical indexes anew and publish them; generations that no pointer names go."""
+        manifest = I.build(self.spark, self.root, self.indexes)
+        G.recover(self.spark, self.indexes)
+        return manifest
+
+    def lexical(self, query: str, scope: str = "all", exact: bool = False, filters: Filters = Filters()) -> DataFrame:
+        """(kind, key, score, place) of a page over all lexical indexes of the scope, from the published generation if there is one."""
+        published = G.current(self.spark, self.indexes) if self.indexes else None
+        last = filters.offset + self.PAGE + 1
+        found = I.hits(self.spark, self.root, query, last, scope, exact, published["generation"] if published else None, self._items(filters), filters.folders)
+        return found.filter(F.col("place") > filters.offset).orderBy("place")
+
     def author(self, name: str) -> DataFrame:
         people = F.from_json("creators_json", T.CREATORS)
         return self._table("items").filter(F.exists(people, lambda p: F.lower(F.trim(F.concat_ws(" ", p["firstName"], p["lastName"]))) == name.strip().lower())).select("id", "title").distinct()

@@ -6,25 +6,28 @@ constants of the plan. Texts of hits are joined after the top k.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir, spread, table
+from ..session import cut, ensure_checkpoint_dir, spread, table
 from ..sinks import generations as G
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 AND_TERMS = 20
-INDEX_BUCKETS, WRITERS = 64, 4
+#: A bucket of a stored index holds about so many postings, and so does each file of it; there are at least and at most so many buckets.
+POSTINGS, LEAST_BUCKETS, MOST_BUCKETS = 5_000_000, 16, 4_096
 RRF_BASE = 40
 RRF_WEIGHTS = {"phrase": 2.8, "bm25": 1.35, "dense": 1.0}
 # What a kind of passage gains or loses in similarity, and in lexical score (lower is better).
-KIND_ADJUSTMENT = {"annotation": 0.015, "embedded": 0.012, "metadata": -0.015, "footnote": -0.012, "table": -0.025, "note": -0.005}
-KIND_BOOST = {"annotation": -0.3, "embedded": -0.2, "note": -0.1}
+KIND_ADJUSTMENT = {"annotation": 0.015, "embedded_annotation": 0.012, "metadata": -0.015, "footnote": -0.012, "table": -0.025, "note": -0.005}
+KIND_BOOST = {"annotation": -0.3, "embedded_annotation": -0.2, "obsidian": -0.1}
 
 
 def index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -68,6 +71,7 @@ def bm25(docs: DataFrame, weights: dict[str, float], phrases: list[list[str]], a
     if not phrases:
         return docs.select("key", F.lit(0.0).alias("score")).limit(0)
     found = docs.select("key", "n_terms", *[sum((w * _occurrences(f"{c}_terms", p) for c, w in weights.items()), F.lit(0.0)).alias(f"f{i}") for i, p in enumerate(phrases)], *[sum((_occurrences(f"{c}_terms", p) for c in weights), F.lit(0)).alias(f"o{i}") for i, p in enumerate(phrases)])
+    found = cut(found)  # the texts are tokenised once, for the statistics and the scores
     stats = found.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("a"), *[F.count_if(F.col(f"o{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
     whole = stats.first()  # one row of the whole index; the scores below are constants away from it
     j = found.withColumns({k: F.lit(v) for k, v in whole.asDict().items()})
@@ -88,20 +92,23 @@ def write_index(docs: DataFrame, generation: str) -> None:
     """Store an index: postings with each document's length beside them, by bucket of the term and sorted by term, and the index's own statistics.
 
     Postings of one bucket are written by as many tasks as a hash of the document gives, so a term of all documents is no single task."""
+    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("a"), F.sum("n_terms").alias("terms")).first()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-(whole["terms"] or 0) // POSTINGS)))
+    writers = max(1, -(-(whole["terms"] or 0) // (buckets * POSTINGS)))
     rows = postings(docs).join(docs.select("key", "n_terms"), "key")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)).cast("int"))
-    G.write(rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(WRITERS))).sortWithinPartitions("bucket", "term"), generation, "postings", ["bucket"])
-    G.write(docs.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("a")), generation, "corpus")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    G.write(rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(writers))).sortWithinPartitions("bucket", "term"), generation, "postings", ["bucket"])
+    G.write(docs.sparkSession.createDataFrame([(whole["n"], whole["a"], buckets, rows.schema.json())], "n long,a double,buckets int,postings string"), generation, "corpus")
 
 
 def bm25_stored(spark: SparkSession, generation: str, weights: dict[str, float], phrases: list[list[str]], any_term: bool = False) -> DataFrame:
     """As bm25, from a stored index: only the buckets of the query's terms are read, and no text."""
-    stored = spark.read.parquet(f"{generation}/postings")
+    whole = spark.read.parquet(f"{generation}/corpus").first()
+    stored = spark.read.schema(StructType.fromJson(json.loads(whole["postings"]))).parquet(f"{generation}/postings")  # an empty index has no file to tell its columns
     if not phrases:
         return stored.select("key", F.lit(0.0).alias("score")).limit(0)
-    whole = spark.read.parquet(f"{generation}/corpus").first()
     terms = sorted({t for p in phrases for t in p})
-    bucket = lambda t: ((h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64 if h >> 63 else 0)) % INDEX_BUCKETS
+    bucket = lambda t: ((h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64 if h >> 63 else 0)) % whole["buckets"]
     own = stored.filter(F.col("bucket").isin(*{bucket(t) for t in terms}) & F.col("term").isin(*terms) & F.col("column").isin(*weights))
     weight = F.element_at(F.create_map(*[F.lit(x) for w in weights.items() for x in w]), F.col("column"))
     parts = []
@@ -270,16 +277,20 @@ def hybrid(spark, d):
 
 
 def blend_5_1(spark, d):
-    notes = index(table(spark, d, "obsidian_sections").withColumn("key", F.abs(F.xxhash64("section_id"))).dropDuplicates(["key"]), "key", ["heading", "markdown"])
-    return blend(ranked(_bm25(spark, d, parse("survey"), any_term=True), 41), ranked(bm25(notes, {"heading": 2.0, "markdown": 6.0}, parse("survey")), 41))
+    sections = table(spark, d, "obsidian_sections").groupBy(F.col("section_id").alias("key")).agg(F.max(F.struct("heading", "markdown")).alias("r")).select("key", "r.*")
+    notes = index(sections, "key", ["heading", "markdown"])
+    library = ranked(_bm25(spark, d, parse("survey"), any_term=True), 41).withColumn("key", F.col("key").cast("string"))
+    return blend(library, ranked(bm25(notes, {"heading": 2.0, "markdown": 6.0}, parse("survey")), 41))
 
 
 def bm25_indexed(spark, d):
-    """The AND query from an index that is stored in the shared folder first."""
-    ensure_checkpoint_dir(spark)
-    generation = G.reserve(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lectern-index")
+    """The AND query from an index that is stored in the shared folder first, and removed once its page is taken."""
+    root = f"{ensure_checkpoint_dir(spark)}/lectern-index"
+    generation = G.reserve(spark, root)
     write_index(_docs(spark, d), generation)
-    return _shown(top(bm25_stored(spark, generation, WEIGHTS, parse(QUERY)), 40))
+    page = cut(_shown(top(bm25_stored(spark, generation, WEIGHTS, parse(QUERY)), 40)))
+    G.remove(spark, generation)
+    return page
 
 
 QUERIES = {
@@ -300,19 +311,20 @@ QUERIES = {
 _fold = lambda x: f"regexp_extract_all(regexp_replace(strip_accents(lower(coalesce({x}, ''))), '\\p{{Mn}}+', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def _sql(phrases: list[list[str]], weights: dict[str, float], tail: str, any_term: bool = False) -> str:
+def bm25_sql(phrases: list[list[str]], weights: dict[str, float], tail: str, any_term: bool = False, source: str = "SELECT *, doc_id AS key FROM documents", digits: int = 9) -> str:
     count = lambda c, p: f"len(list_filter({c}_t, lambda x: x = '{p[0]}'))" if len(p) == 1 else f"len(list_filter(range(1, len({c}_t) + 1), lambda i: {c}_t[i:i + {len(p) - 1}] = {p!r}))"
     n = range(len(phrases))
     score = " ".join(f"- (CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a))" for i in n)
     return (
-        f"WITH t AS (SELECT doc_id AS key, {', '.join(f'{_fold(c)} AS {c}_t' for c in weights)} FROM documents), "
-        f"f AS (SELECT key, {' + '.join(f'len({c}_t)' for c in weights)} AS l, {', '.join(' + '.join(f'{w}::DOUBLE * {count(c, p)}' for c, w in weights.items()) + f' AS f{i}' for i, p in enumerate(phrases))} FROM t), "
-        f"s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {', '.join(f'count_if(f{i} > 0) AS n{i}' for i in n)} FROM f), "
-        f"r AS (SELECT key, 0.0::DOUBLE {score} AS x FROM f, s WHERE {(' OR ' if any_term else ' AND ').join(f'f{i} > 0' for i in n)}) "
-        f"SELECT key, round(x, 9) AS score FROM r {tail}"
+        f"WITH t AS (SELECT key, {', '.join(f'{_fold(c)} AS {c}_t' for c in weights)} FROM ({source}) src), "
+        f"f AS (SELECT key, {' + '.join(f'len({c}_t)' for c in weights)} AS l, {', '.join(' + '.join(f'{w}::DOUBLE * {count(c, p)}' for c, w in weights.items()) + f' AS f{i}, ' + ' + '.join(count(c, p) for c in weights) + f' AS o{i}' for i, p in enumerate(phrases))} FROM t), "
+        f"s AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {', '.join(f'count_if(o{i} > 0) AS n{i}' for i in n)} FROM f), "
+        f"r AS (SELECT key, 0.0::DOUBLE {score} AS x FROM f, s WHERE {(' OR ' if any_term else ' AND ').join(f'o{i} > 0' for i in n)}) "
+        f"SELECT key, round(x, {digits}) AS score FROM r {tail}"
     )
 
 
+_sql = bm25_sql
 _TWO = [["charter"], ["survey"]]
 _OK = "SELECT DISTINCT ON (id) id, kind, item_id, embedding::DOUBLE[] AS e FROM semantic_chunks WHERE model = 'veld-embed-base' AND len(embedding) = dimensions AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 _BONUS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in KIND_ADJUSTMENT.items()) + " ELSE 0 END"
@@ -331,3 +343,12 @@ SQL = {
     "postings": _POST + 'SELECT term, key, "column", count(*) AS n, min(position) AS first FROM p GROUP BY ALL',
     "dense_topk": _dense("0"), "dense_kind_adjusted": _dense(_BONUS),
 }
+_ranked = lambda sql, n: f"SELECT key, row_number() OVER (ORDER BY score, key) AS rank FROM ({sql}) ORDER BY score, key LIMIT {n}"
+_CONTESTED = _sql([["contested"], ["theory"]], WEIGHTS, "", digits=15), _sql([["contested", "theory"]], WEIGHTS, "", digits=15)
+_NEAR = f"WITH c AS ({_OK}), q AS (SELECT e AS v FROM c ORDER BY id LIMIT 1) SELECT id AS key, row_number() OVER (ORDER BY round(list_cosine_similarity(e, v) + {_BONUS}, 9) DESC, id DESC) AS rank FROM c, q QUALIFY rank <= 160"
+_LISTS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, key, rank, '{m}' AS method, {RRF_WEIGHTS[m]}::DOUBLE AS w, {i} AS o FROM ({sql})" for i, (m, kind, sql) in enumerate((("phrase", "document", _ranked(_CONTESTED[1], 160)), ("bm25", "document", _ranked(_CONTESTED[0], 120)), ("dense", "chunk", _NEAR))))
+_SECTIONS = "SELECT section_id AS key, any_value(heading) AS heading, any_value(markdown) AS markdown FROM obsidian_sections GROUP BY section_id"
+SQL["rrf_hybrid"] = f"""WITH l AS ({_LISTS}), g AS (SELECT kind, key, round(sum(w / ({RRF_BASE} + rank)), 9) AS score, min({{'o': o, 'r': rank}}) AS first, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM l GROUP BY kind, key)
+SELECT kind, key, score, methods, row_number() OVER (ORDER BY score DESC, first, kind, key)::INTEGER AS place FROM g QUALIFY place <= 120"""
+SQL["blend_5_1"] = f"""WITH a AS (SELECT key::VARCHAR AS key, rank, 0 AS side, ceil(rank / 5) AS block FROM ({_ranked(_sql([["survey"]], WEIGHTS, "", True, digits=15), 41)})), b AS (SELECT key, rank, 1 AS side, rank AS block FROM ({_ranked(_sql([["survey"]], {"heading": 2.0, "markdown": 6.0}, "", source=_SECTIONS, digits=15), 41)}))
+SELECT key, side, row_number() OVER (ORDER BY block, side, rank)::INTEGER AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""

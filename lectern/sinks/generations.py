@@ -1,4 +1,4 @@
-"""Parquet generations: every run writes a new folder and is published by one atomic rename of a pointer.
+"""Parquet generations: every run writes a new folder and is published by renaming a pointer; while it is replaced, the previous one holds.
 
 A generation counts only if the pointer names it, so a run that fails leaves the published one as it was; recover() removes what no pointer names. Written tables are
 partitioned or clustered by the caller. Paths may be on any file system Hadoop knows.
@@ -32,6 +32,11 @@ def write(df: DataFrame, generation: str, name: str, partition_by: list[str] | N
     (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{generation}/{name}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, Path = _fs(spark, path)
+    fs.delete(Path(path), True)
+
+
 def token(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
 
@@ -50,7 +55,7 @@ def publish(spark: SparkSession, root: str, generation: str, required: dict[str,
     out.write(bytearray(json.dumps(manifest).encode()))
     out.close()
     target = Path(f"{root}/{POINTER}")
-    if fs.exists(target):
+    if fs.exists(target):  # two renames: between them the previous pointer stands for the missing one, see current()
         fs.delete(Path(f"{root}/{PREVIOUS}"), False)
         fs.rename(target, Path(f"{root}/{PREVIOUS}"))
     if not fs.rename(work, target):

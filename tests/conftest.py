@@ -11,17 +11,17 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 SCHEMAS = {
     "items": "id long, canonical_source_item_id long, zotero_key string, item_type string, title string, date_created string, date_added string, date_modified string, doi string, isbn string, url string, metadata_json string, creators_json string, tags_json string, collections_json string, source_count long",
     "item_sources": "item_id long, source_item_id long, source_key string, date_added string, annotation_count long, metadata_json string, loaded_at timestamp",
-    "obsidian_notes": "note_id string, relative_path string, folder string, filename string, title string, markdown string, aliases_json string, imported_at timestamp, removed_at timestamp",
-    "obsidian_sections": "section_id string, note_id string, ordinal long, heading string, markdown string",
+    "obsidian_notes": "note_id string, relative_path string, folder string, filename string, title string, markdown string, tags_json string, aliases_json string, authors_json string, checksum string, imported_at timestamp, removed_at timestamp",
+    "obsidian_sections": "section_id string, note_id string, ordinal long, heading string, heading_path string, heading_level int, markdown string",
     "obsidian_links": "id long, note_id string, target string, imported_at timestamp",
     "obsidian_assets": "relative_path string, filename string",
     "zotero_collections": "collection_id long, name string, parent_id long, path string, depth int",
     "collection_descendants": "ancestor_id long, descendant_id long",
     "duplicate_groups": "item_id long, match_method string, match_key string",
     "document_pages": "id long, attachment_id long, item_id long, page_number int, text string, char_count long",
-    "clean_document_blocks": "id long, attachment_id long, item_id long, ordinal long, block_type string, page_start int, page_end int, text string, char_count long",
-    "semantic_chunks": "id long, model string, dimensions int, kind string, item_id long, embedding array<float>, text string",
-    "notes": "id long, item_id long, title string, note_html string",
+    "clean_document_blocks": "id long, attachment_id long, item_id long, ordinal long, block_type string, section_title string, source string, page_start int, page_end int, text string, char_count long",
+    "semantic_chunks": "id long, model string, dimensions int, chunk_key string, content_hash string, kind string, label string, item_id long, attachment_id long, page string, section_title string, title string, embedding array<float>, text string",
+    "notes": "id long, item_id long, attachment_id long, title string, note_html string",
     "documents": "doc_id long, text string, lang string, source string, item_id long, title string",
 }
 

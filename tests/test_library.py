@@ -1,5 +1,6 @@
 """Text functions, retrieval, folds, sources, generations and the facade on small literal cases."""
 
+import datetime as dt
 import sqlite3
 
 import pytest
@@ -220,3 +221,21 @@ def test_registry_without_and_with_queries(spark):
     names = e.queries()
     assert set(e.oracle_sql()) <= set(names) and len(names) > 100
     assert all(f"p{n}_found" in names for n in (2, 4))
+
+
+def test_lexical_indexes_stored_and_filtered(spark, write, tmp_path):
+    items = [{"id": 1, "title": "Survey of rivers", "creators_json": '[{"firstName":"Ada","lastName":"Lo"}]', "metadata_json": '{"place":"Lissau","note":" "}', "tags_json": '["map"]', "collections_json": "[5]", "date_added": "2020-01-05 10:00:00"}]
+    items += [{"id": i, "title": f"Other {i}", "collections_json": "[]", "date_added": "2021-01-01 00:00:00"} for i in range(2, 9)]
+    notes = [{"note_id": "n", "relative_path": "A/n.md", "folder": "A", "title": "Survey note", "imported_at": dt.datetime(2020, 1, 1)}, {"note_id": "m", "relative_path": "B/m.md", "folder": "B", "title": "x", "imported_at": dt.datetime(2020, 1, 1), "removed_at": dt.datetime(2021, 1, 1)}]
+    sections = [{"section_id": f"{n}{i}", "note_id": n, "ordinal": i, "heading": "h", "markdown": "a survey" if i < 2 else "text"} for n in "nm" for i in range(6)]
+    pages = [{"id": i, "attachment_id": 1, "item_id": 1 if i == 1 else 2, "page_number": i, "text": "the survey" if i < 3 else "page"} for i in range(1, 8)]
+    d = write({"items": items + items[:1], "obsidian_notes": notes, "obsidian_sections": sections, "document_pages": pages, "zotero_collections": [{"collection_id": 5, "name": "C"}]})
+    lib = api.Library(spark, d, indexes=str(tmp_path / "ix"))
+    fresh = sorted(map(tuple, lib.lexical("survey").collect()))
+    lib.refresh()
+    stored = sorted(map(tuple, lib.lexical("survey").collect()))
+    assert [x[:2] for x in stored] == [x[:2] for x in fresh] and {x[:2] for x in stored} == {("document", "1"), ("document", "2"), ("metadata", "1"), ("obsidian", "n0"), ("obsidian", "n1"), ("obsidian", "n2"), ("obsidian", "n3"), ("obsidian", "n4"), ("obsidian", "n5")}
+    keys = lambda f, scope="all": {tuple(r)[:2] for r in lib.lexical("survey", scope, filters=api.Filters.parse(f)).collect()}
+    assert {k for k in keys({"collections": "[5]"}) if k[0] != "obsidian"} == {("document", "1"), ("metadata", "1")} and {k for k in keys({"collections": [0]}) if k[0] != "obsidian"} == {("document", "2")}
+    assert not [k for k in keys({"folders": []}) if k[0] == "obsidian"] and keys({"folders": ["B"]}, "obsidian") == set() and keys({"added_to": "2020-12-31"}, "documents") == {("document", "1")}
+    assert lib.lexical("survey", "nothing").count() == 0 and lib.lexical("", "all").count() == 0
