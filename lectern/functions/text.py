@@ -32,17 +32,20 @@ def fold(c: Column) -> Column:
     return sub(F.translate(F.lower(c), *accents()), r"\p{Mn}+")
 
 
-def unescape(c: Column) -> Column:
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
 def unescape_all(c: Column) -> Column:
     """All entities of HTML; an Arrow function, as the built-ins can't express it."""
     return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else html.unescape(x)), "string")(c)
 
 
+def unescape(c: Column) -> Column:
+    """All entities of HTML: the common ones by built-ins, a text with any other by the Arrow function."""
+    common = c
+    for a, b in ENTITIES:
+        common = F.replace(common, F.lit(a), F.lit(b))
+    other = c.rlike("&(?!(?:" + "|".join(a[1:-1] for a, _ in ENTITIES) + ");)[#A-Za-z]")
+    return F.when(other, unescape_all(c)).otherwise(common)
+
+
 def collapse(c: Column) -> Column:
     return F.trim(sub(c, r"[\s\u00a0]+", " "))
 
@@ -68,8 +71,13 @@ def plain(c: Column) -> Column:
     return F.trim(sub(F.translate(unescape(c), "\x00\u00ad", ""), r"[ \t]+", " "))
 
 
+def _norm(x: str | None) -> str | None:
+    return None if x is None else re.sub("[^a-z0-9]+", "", unicodedata.normalize("NFKD", x).casefold())
+
+
 def norm_key(c: Column) -> Column:
-    return sub(fold(c), "[^a-z0-9]+")
+    """Compatibility decomposition and full case folding, then only a-z and 0-9. A text of ASCII takes built-ins only."""
+    return F.when(c.rlike(r"^[\x00-\x7f]*$"), sub(F.lower(c), "[^a-z0-9]+")).otherwise(F.pandas_udf(lambda s: s.map(_norm), "string")(c))
 
 
 def year(c: Column) -> Column:
@@ -140,9 +148,14 @@ def locator(c: Column) -> Column:
     return F.trim(F.lower(t))
 
 
+# Titles that say nothing.
+GENERIC_TITLE = r"(?i)^(?:paper|full.?text(?: pdf)?|article|document|manuscript|download|untitled|main|submission|accepted.?manuscript|attachment|[a-f0-9]{8,})(?:\.pdf)?$"
+
+
 def bad_title(c: Column) -> Column:
-    t = F.trim(F.btrim(sub(c, "<[^>]*>", ""), F.lit(" ._-")))
-    return F.coalesce((t == "") | F.lower(t).rlike(r"^(untitled|document|scan|title|microsoft word.*|page)\s*[0-9]*$") | F.lower(t).rlike(r"^[0-9a-f]{8,}$") | F.lower(t).endswith(".pdf"), F.lit(True))
+    """Nothing, a generic name, a hexadecimal number or the name of a PDF; null is bad."""
+    t = F.btrim(sub(sub(c, "<[^>]*>", " "), r"\s+", " "), F.lit(" ._-"))
+    return F.coalesce((t == "") | t.rlike(GENERIC_TITLE) | F.lower(t).endswith(".pdf"), F.lit(True))
 
 
 def publication_date(c: Column) -> Column:
@@ -185,17 +198,20 @@ def safe_snippet(c: Column) -> Column:
     return t
 
 
-#: (pattern, replacement) in order; the same for Java and RE2 but for the marks of groups.
+#: (pattern, replacement) in order; the same for Java and RE2 but for the marks of groups. Fences go before entities are read, all else after.
+MARKDOWN_FENCE = (r"(?s)```.*?```", " ")
 MARKDOWN_STEPS = (
-    (r"(?s)```.*?```", " "), (r"<[^>]*>", " "), (r"`([^`]*)`", "$1"), (r"!\[\[([^\]|]*)(\|[^\]]*)?\]\]", "$1"), (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), (r"\[\[([^\]]*)\]\]", "$1"),
-    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^[ \t]*#{1,6}[ \t]+", ""), (r"(?m)^[ \t]*([-*+]|[0-9]+\.)[ \t]+", ""), (r"[*_~]{1,3}", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
+    (r"<[^>]*>", " "), (r"`([^`]*)`", "$1"), (r"!?\[\[[^\]|#]+(?:#[^\]|]+)?\|([^\]]+)\]\]", "$1"), (r"!?\[\[([^\]|#]+)(?:#[^\]|]+)?\]\]", "$1"),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s*(?:[-*+] |\d+[.)] )", ""), (r"[*_~>|]", " "),
 )
 
 
 def markdown_plain(c: Column) -> Column:
+    """Text of Markdown: fences dropped; code, links and embeds to what they show; marks of headings, lists and emphasis gone; paragraphs kept."""
+    c = unescape(sub(c, *MARKDOWN_FENCE))
     for pattern, by in MARKDOWN_STEPS:
         c = sub(c, pattern, by)
-    return F.trim(c)
+    return F.array_join(F.filter(F.transform(F.split(c, r"\n\s*\n"), collapse), lambda x: x != ""), "\n\n")
 
 
 def first_heading(c: Column) -> Column:
@@ -227,7 +243,10 @@ def tokens(c: Column) -> Column:
 
 
 # Words too common to be searched for, of two languages.
-STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "are", "was", "what", "which", "how", "oraz", "jest", "dla", "nie", "jak", "czy", "tego", "przez")
+STOP_WORDS = tuple(dict.fromkeys((
+    "a about according all an and answer are as at be been being by can could did do does explain for from give how i in is it library me my of on please say says should tell that the their them there these this to was were what when where which who why with would "
+    "a aby ale biblioteka bibliotece biblioteki by był była było co czy dla do gdzie i jak jaka jakie jest która które mi mnie moja moje mojej na o od opisz oraz po powiedz przez się są ta ten te to w we według z za ze"
+).split()))
 
 
 def query_terms(c: Column, most: int = 10) -> Column:
@@ -236,18 +255,29 @@ def query_terms(c: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))), 1, most)
 
 
-# Letters and words that tell languages apart.
-LANGUAGE_SIGNS = (("ukr", "[іїєґ]"), ("rus", "[ыэъё]"), ("ell", r"\p{IsGreek}"), ("ara", r"\p{IsArabic}"), ("pol", "[ąęłńśźż]"), ("deu", "[äöüß]"))
+# Letters and words that tell languages apart, and the names a language goes by.
+LANGUAGE_SIGNS = (("pol", "[ąćęłńóśźż]"), ("ukr", "[іїєґ]"), ("rus", "[а-яё]"), ("ell", "[α-ωάέήίόύώϊϋΐΰ]"), ("ara", "[\u0600-\u06ff]"), ("deu", "[äöüß]"))
 LANGUAGE_WORDS = {
-    "eng": ("the", "and", "of", "to", "in", "is", "that", "was", "for", "with"), "deu": ("der", "die", "das", "und", "nicht", "ist", "von", "mit", "den", "eine"),
-    "fra": ("le", "la", "les", "des", "et", "une", "dans", "est", "que", "pour"), "pol": ("i", "w", "na", "nie", "do", "oraz", "jest", "dla", "raport", "prawa"),
+    "eng": ("and", "the", "of", "to", "in", "for", "with", "from", "on", "law", "legal", "article", "report"),
+    "pol": ("oraz", "dla", "przez", "jest", "nie", "się", "w", "z", "na", "prawa", "prawny", "prawne", "raport"),
+    "deu": ("und", "der", "die", "das", "von", "für", "mit", "auf", "recht", "bericht"),
+    "fra": ("et", "le", "la", "les", "de", "des", "pour", "avec", "droit", "rapport"),
+    "spa": ("y", "el", "la", "los", "de", "para", "con", "derecho", "informe"),
+    "ita": ("e", "il", "la", "di", "per", "con", "diritto", "rapporto"),
+    "nld": ("en", "de", "het", "van", "voor", "met", "recht", "rapport"),
+    "por": ("e", "o", "a", "de", "para", "com", "direito", "relatório"),
+}
+LANGUAGE_NAMES = {
+    "ara": ("ar", "arabic"), "ces": ("cs", "ces", "czech"), "deu": ("de", "deu", "german"), "nld": ("nl", "nld", "dutch"), "eng": ("en", "eng", "english"), "spa": ("es", "spa", "spanish"), "fra": ("fr", "fra", "fre", "french"),
+    "ell": ("el", "ell", "greek"), "ita": ("it", "ita", "italian"), "pol": ("pl", "pol", "polish"), "por": ("pt", "por", "portuguese"), "rus": ("ru", "rus", "russian"), "slk": ("sk", "slk", "slovak"), "ukr": ("uk", "ukr", "ukrainian"),
 }
-LANGUAGE_CODES = {"en": "eng", "eng": "eng", "de": "deu", "deu": "deu", "fr": "fra", "fra": "fra", "pl": "pol", "pol": "pol", "uk": "ukr", "ukr": "ukr", "ru": "rus", "el": "ell"}
+LANGUAGE_CODES = {name: code for code, names in LANGUAGE_NAMES.items() for name in names}
 
 
 def language_code(c: Column) -> Column:
-    code = F.lower(F.regexp_extract(c, r"^\s*([A-Za-z]{2,3})", 1))
-    return F.element_at(F.create_map(*[F.lit(x) for p in LANGUAGE_CODES.items() for x in p]), code)
+    """Of the first part of a notation that names a language."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    return F.element_at(F.create_map(*[F.lit(x) for p in LANGUAGE_CODES.items() for x in p]), F.try_element_at(F.filter(parts, lambda p: p.isin(*LANGUAGE_CODES)), F.lit(1)))
 
 
 def language(code: Column, text: Column) -> Column:
@@ -276,8 +306,9 @@ def select_languages(installed: list[str], wanted: str, manual: bool = False) ->
 
 
 def model_token(name: Column) -> Column:
+    name = F.trim(name)
     slug = F.substring(F.btrim(sub(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-")), 1, 48)
-    return F.concat_ws("-", slug, F.substring(F.sha2(name, 256), 1, 12))
+    return F.concat_ws("-", F.when(slug == "", "model").otherwise(slug), F.substring(F.sha2(name, 256), 1, 12))
 
 
 def note_id(path: Column) -> Column:

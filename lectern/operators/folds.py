@@ -18,18 +18,25 @@ from ..session import table
 CHUNK_TARGET, CHUNK_CAP = 4_000, 12_000
 MERGE_CAP = 4_500
 UNIT_CAP = 800
+HEADING_PART, HEADING_CAP = 70, 140
 ENDS = re.compile(r"[.!?][\"'”»)\]]*\s*$")
 
 
 def merge_paragraphs(parts: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
-    """(type, text, page) in order: a paragraph goes on into the next part if it has no sentence end, at most a page lies between, and both stay below MERGE_CAP."""
+    """(type, text, page) in order: a paragraph goes on into the next one if it has no sentence end or that begins in lower case, at most a page lies between, and both stay below MERGE_CAP.
+
+    A list item without a stop may be gone on with, too. Headings that follow each other on a page, the first without an end and both short, are one. Without page layout nothing speaks against lines of one page belonging together."""
     out: list[tuple[str, str, int]] = []
     last_page = None
     for kind, text, page in parts:
-        if out and kind in ("paragraph", "list_item") and out[-1][0] in ("paragraph", "list_item") and not ENDS.search(out[-1][1]) and page - last_page <= 1 and len(out[-1][1]) + len(text) < MERGE_CAP:
-            before = out[-1][1].rstrip()
+        before_kind, before = (out[-1][0], out[-1][1].rstrip()) if out else ("", "")
+        open_ = before_kind == "paragraph" or before_kind == "list_item" and not re.search(r"[.;:]$", before)
+        goes_on = not ENDS.search(before) or text[:1].islower()
+        if kind == "paragraph" and open_ and goes_on and page - last_page <= 1 and len(before) + len(text) < MERGE_CAP:
             joined = before[:-1] + text if before.endswith("-") and text[:1].islower() else f"{before} {text}"
-            out[-1] = (out[-1][0], joined, out[-1][2])
+            out[-1] = (before_kind, joined, out[-1][2])
+        elif kind == before_kind == "heading" and page == last_page and len(text) <= HEADING_PART and len(before) + len(text) < HEADING_CAP and not ENDS.search(before):
+            out[-1] = (kind, f"{before} {text}", out[-1][2])
         else:
             out.append((kind, text, page))
         last_page = page

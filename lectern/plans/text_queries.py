@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,10 +20,13 @@ def _sql(name: str, key: str, **made: str) -> str:
 
 
 def _unescape(x: str) -> str:
-    for a, b in T.ENTITIES:
-        b = b.replace("'", "''")
-        x = f"replace({x}, '{a}', '{b}')"
-    return x
+    """Numbers and the named entities of Latin letters and signs, ampersand last."""
+    for pattern, value in (("&#(\\d+);", "chr(e::INTEGER)"), ("&#[xX]([0-9a-fA-F]+);", "chr(('0x' || e)::INTEGER)")):
+        head = "'&#' || e || ';'" if "\\d" in pattern else "'&#x' || e || ';'"
+        x = f"list_reduce(list_prepend({x}, list_distinct(regexp_extract_all({x}, '{pattern}', 1))), lambda acc, e: replace(acc, {head}, {value}))"
+    named = {f"&{n};": c for n, c in html.entities.entitydefs.items() if n != "amp"}
+    pairs = [(a, b.replace("'", "''")) for a, b in (*named.items(), ("&amp;", "&"))]
+    return f"list_reduce(list_prepend([{x}, ''], [{', '.join(f'[{a!r}, {chr(39)}{b}{chr(39)}]' for a, b in pairs)}]), lambda acc, e: [replace(acc[1], e[1], e[2]), ''])[1]"
 
 
 _ws = lambda x: f"trim(regexp_replace({x}, '[\\s\\x{{00a0}}]+', ' ', 'g'))"
@@ -30,21 +35,38 @@ _end = "'[.!?][\"''”»)\\]]*\\s*$'"
 _words = lambda x: f"len(regexp_split_to_array(trim({x}), '\\s+'))"
 
 
+def _paragraphs(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '\\n\\s*\\n'), lambda p: {_ws('p')}), lambda p: p <> ''), chr(10) || chr(10))"
+
+
 def _markdown(x: str) -> str:
+    x = _unescape(f"regexp_replace({x}, '{T.MARKDOWN_FENCE[0]}', ' ', 'g')")
     for pattern, by in T.MARKDOWN_STEPS:
-        by = by.replace("$1", "\\1").replace("\n", "' || chr(10) || chr(10) || '" if by == "\n\n" else "\n")
-        by = "' || chr(10) || chr(10) || '" if "chr(10)" in by else by
-        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
-    return f"trim({x})"
+        x = f"regexp_replace({x}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return _paragraphs(x)
 
 
 _NL2 = "chr(10) || chr(10)"
 _part = lambda i: f"regexp_extract(date_created, '([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})', {i})"
 _YEAR = "regexp_extract({}, '(1[89]\\d\\d|2[01]\\d\\d)', 1)"
 _fold = lambda x: f"regexp_replace(strip_accents(lower({x})), '\\p{{Mn}}+', '', 'g')"
+_norm = lambda x: f"regexp_replace(strip_accents(replace(replace(replace(lower({x}), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '[^a-z0-9]+', '', 'g')"
 _TOKENS = lambda x: f"regexp_extract_all({_fold(x)}, '[\\p{{L}}\\p{{N}}]+')"
 
 c = F.col
+# The fields of the metadata that are searched, in order.
+FIELDS = ("abstractNote", "publicationTitle", "bookTitle", "conferenceName", "shortTitle", "rights", "place", "publisher", "series")
+
+
+def metadata_text():
+    """Title, names, type and nine fields of the metadata, those that aren't empty parted by points; as plain text."""
+    full = lambda p: F.array_join(F.filter(F.array(p["firstName"], p["lastName"]), lambda x: x != ""), " ")
+    names = F.array_join(F.transform(F.from_json("creators_json", T.CREATORS), full), ", ")
+    m = F.from_json("metadata_json", "map<string,string>")
+    parts = F.filter(F.array(c("title"), names, c("item_type"), *[m[x] for x in FIELDS]), lambda x: x.isNotNull() & (x != ""))
+    return T.plain_text(F.array_join(parts, ". "))
+
+
 QUERIES = {
     "plain_text": _over("notes", "id", lambda: dict(plain=T.plain_text(c("note_html")))),
     "paragraph_text": _over("notes", "id", lambda: dict(plain=T.paragraph_text(c("note_html")))),
@@ -71,7 +93,7 @@ QUERIES = {
     "frontmatter": _over("obsidian_notes", "note_id", lambda: dict(keys=F.array_join(F.array_sort(F.map_keys(T.frontmatter(c("markdown")))), ","))),
     "note_title": _over("obsidian_notes", "note_id", lambda: dict(title=F.coalesce(c("title"), F.nullif(T.first_heading(c("markdown")), F.lit("")), T.stem(c("filename"))))),
     "inline_tags": _over("obsidian_notes", "note_id", lambda: dict(tags=F.array_join(T.inline_tags(c("markdown")), ","))),
-    "metadata_text": _over("items", "id", lambda: dict(t=F.array_join(F.filter(F.array(*[F.trim(F.coalesce(c(x), F.lit(""))) for x in ("title", "item_type", "date_created", "doi", "isbn", "url")]), lambda x: x != ""), ". "))),
+    "metadata_text": _over("items", "id", lambda: dict(t=metadata_text())),
     "language_vote": _over("documents", "doc_id", lambda: dict(language=T.language(c("lang"), c("text")))),
     "language_of_text": _over("documents", "doc_id", lambda: dict(language=T.language(F.lit(None).cast("string"), c("text")))),
     "content_hashes": _over("documents", "doc_id", lambda: dict(sha=F.sha2(c("text"), 256), sha1=F.sha1(c("text")))),
@@ -87,10 +109,10 @@ QUERIES = {
 _mk = lambda x: f"array_to_string(list_transform(string_split(trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: CASE WHEN regexp_matches(w, '^([0-9]+|[ivxlcdm]+)$') THEN '#' WHEN w = 'strona' THEN 'page' ELSE w END), ' ')"
 SQL = {
     "plain_text": _sql("notes", "id", plain=_ws(_unescape(_tags("note_html")))),
-    "paragraph_text": _sql("notes", "id", plain=f"array_to_string(list_filter(list_transform(regexp_split_to_array({_unescape(_tags('note_html'))}, '\\n\\s*\\n'), lambda p: {_ws('p')}), lambda p: p <> ''), {_NL2})"),
+    "paragraph_text": _sql("notes", "id", plain=_paragraphs(_unescape(_tags("note_html")))),
     "plain_lines": _sql("document_pages", "id", plain=f"trim(regexp_replace(replace({_unescape('text')}, chr(173), ''), '[ \\t]+', ' ', 'g'))"),
     "clean_text": _sql("document_pages", "id", plain="trim(text)"),
-    "norm_key": _sql("items", "id", k=f"regexp_replace({_fold('title')}, '[^a-z0-9]+', '', 'g')"),
+    "norm_key": _sql("items", "id", k=_norm("title")),
     "year_extract": _sql("items", "id", year=_YEAR.format("date_created")),
     "canonical_margin": _sql("clean_document_blocks", "id", k=_mk("text")),
     "join_lines": _sql("document_pages", "id", line=_ws("regexp_replace(text, '(\\p{L})[-\\x{00ad}]\\s*\\n\\s*(\\p{Ll})', '\\1\\2', 'g')")),
@@ -100,12 +122,12 @@ SQL = {
     "heading_flags": _sql("clean_document_blocks", "id", heading=f"(regexp_matches(lower(trim(text)), '^(abstract|introduction|conclusions?|references|bibliography|contents|chapter|part|annex|appendix|summary|wstęp|rozdział|spis)\\b') OR regexp_matches(trim(text), '^([0-9]+(\\.[0-9]+)*\\.?|[IVXLC]+\\.)\\s+\\p{{Lu}}')) AND length(trim(text)) <= 120 AND {_words('text')} <= 16 AND NOT regexp_matches(trim(text), {_end})", caps=f"trim(text) = upper(trim(text)) AND regexp_matches(trim(text), '\\p{{Lu}}{{2}}') AND length(trim(text)) <= 120 AND {_words('text')} <= 14 AND NOT regexp_matches(trim(text), {_end})"),
     "compact_text": _sql("clean_document_blocks", "id", k="regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', '', 'g')"),
     "locator_text": _sql("clean_document_blocks", "id", k="trim(lower(regexp_replace(regexp_replace(replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), chr(173), ''), '([\\p{L}\\p{N}_])-\\s+([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '[^\\p{L}\\p{N}_]+', ' ', 'g')))"),
-    "bad_title": _sql("notes", "id", bad="coalesce(t = '' OR regexp_matches(lower(t), '^(untitled|document|scan|title|microsoft word.*|page)\\s*[0-9]*$') OR regexp_matches(lower(t), '^[0-9a-f]{8,}$') OR lower(t) LIKE '%.pdf', true)").replace("FROM notes", "FROM (SELECT *, trim(trim(regexp_replace(title, '<[^>]*>', '', 'g'), ' ._-')) AS t FROM notes)"),
+    "bad_title": _sql("notes", "id", bad=f"coalesce(t = '' OR regexp_matches(t, '{T.GENERIC_TITLE}') OR lower(t) LIKE '%.pdf', true)").replace("FROM notes", "FROM (SELECT *, trim(regexp_replace(regexp_replace(title, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ._-') AS t FROM notes)"),
     "publication_date": _sql("items", "id", d=f"CASE WHEN {_part(1)} <> '' THEN {_part(1)} || '-' || lpad({_part(2)}, 2, '0') || '-' || lpad({_part(3)}, 2, '0') WHEN {_YEAR.format('date_created')} <> '' THEN {_YEAR.format('date_created')} ELSE date_created END"),
     "position_page": _sql("semantic_chunks", "id", page_number="try_cast(nullif(regexp_extract(page, '([0-9]+)', 1), '') AS INTEGER)"),
     "markdown_plain": _sql("obsidian_sections", "section_id", plain=_markdown("markdown")),
     "note_title": _sql("obsidian_notes", "note_id", title="coalesce(title, nullif(trim(regexp_extract(markdown, '(?m)^#[ \\t]+([^\\r\\n]+)', 1)), ''), regexp_replace(filename, '\\.[^.]*$', ''))"),
-    "metadata_text": _sql("items", "id", t="array_to_string(list_filter([trim(coalesce(title, ''), ' '), trim(coalesce(item_type, ''), ' '), trim(coalesce(date_created, ''), ' '), trim(coalesce(doi, ''), ' '), trim(coalesce(isbn, ''), ' '), trim(coalesce(url, ''), ' ')], lambda x: x <> ''), '. ')"),
+    "metadata_text": _sql("items", "id", t=_ws(_unescape(_tags("array_to_string(list_filter([title, names, item_type, " + ", ".join(f"json_extract_string(metadata_json, '$.{x}')" for x in FIELDS) + "], lambda x: x <> ''), '. ')")))).replace("FROM items", "FROM (SELECT *, array_to_string(list_transform(from_json(creators_json, '[{\"firstName\":\"VARCHAR\",\"lastName\":\"VARCHAR\"}]'), lambda p: array_to_string(list_filter([p.firstName, p.lastName], lambda x: x <> ''), ' ')), ', ') AS names FROM items)"),
     "content_hashes": _sql("documents", "doc_id", sha="sha256(text)", sha1="sha1(text)"),
     "section_ids": _sql("obsidian_sections", "section_id", made="sha1(concat_ws(chr(0), note_id, ordinal::VARCHAR, heading))"),
     "model_token": _sql("semantic_chunks", "model", token="substr(trim(regexp_replace(lower(model), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48) || '-' || substr(sha256(model), 1, 12)"),
@@ -122,10 +144,10 @@ _TERMS = f"SELECT id, list_filter(regexp_extract_all(replace(lower(title), 'ς',
 
 def _language(code: str) -> str:
     votes = {k: f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in v)})))" for k, v in T.LANGUAGE_WORDS.items()}
-    signs = " ".join(f"WHEN regexp_matches(t, '{sign.replace('IsGreek', 'Greek').replace('IsArabic', 'Arabic')}') THEN '{name}'" for name, sign in T.LANGUAGE_SIGNS)
+    signs = " ".join(f"WHEN regexp_matches(t, '{sign}') THEN '{name}'" for name, sign in T.LANGUAGE_SIGNS)
     vote = " ".join(f"WHEN {v} >= 3 AND {v} >= greatest({', '.join(x for n, x in votes.items() if n != k)}) + 2 THEN '{k}'" for k, v in votes.items())
     codes = "CASE " + " ".join(f"WHEN c = '{a}' THEN '{b}'" for a, b in T.LANGUAGE_CODES.items()) + " END"
-    return f"SELECT DISTINCT doc_id AS key, coalesce({codes}, CASE {signs} {vote} END) AS language FROM (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, lower(regexp_extract({code}, '^\\s*([A-Za-z]{{2,3}})', 1)) AS c FROM documents)"
+    return f"SELECT DISTINCT doc_id AS key, coalesce({codes}, CASE {signs} {vote} END) AS language FROM (SELECT doc_id, lower(text) AS t, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, list_filter(regexp_extract_all(lower({code}), '[a-z]+'), lambda x: x IN ({', '.join(repr(x) for x in T.LANGUAGE_CODES)}))[1] AS c FROM documents)"
 
 
 SQL |= {

@@ -23,7 +23,7 @@ def one(spark, f, value, kind="string"):
         (T.norm_key, "Zażółć – Test!", "zazoc test".replace(" ", "")), (T.norm_key, "10.1000/ABC.1", "101000abc1"), (T.norm_key, "Привет", ""), (T.norm_key, None, None),
         (T.without_repetition, "a b a b", "a b"), (T.without_repetition, "a a", "a a"), (T.publication_date, "2020/4/5", "2020-04-05"), (T.publication_date, "May 2001", "2001"), (T.publication_date, "n.d.", "n.d."),
         (T.plain_text, "<p>a&amp;b</p> &lt;i&gt;", "a&b <i>"), (T.join_lines, "over-\nlap and\nX-\nRay", "overlap and X- Ray"), (T.collapse_letter_spacing, "T E X T 1 . 2", "TEXT 1.2"),
-        (T.is_page_number, " Page xii ", True), (T.ends_sentence, 'He said "no."', True), (T.bad_title, "scan 12", True), (T.bad_title, None, True), (T.year, "around 1999-2001", "1999"),
+        (T.is_page_number, " Page xii ", True), (T.ends_sentence, 'He said "no."', True), (T.bad_title, "Full text.pdf", True), (T.bad_title, " deadbeef01 ", True), (T.bad_title, "On scans", False), (T.norm_key, "Straße ﬁne Ａ１", "strassefinea1"), (T.plain_text, "a&eacute;&#8211;&#x41;", "aé–A"), (T.markdown_plain, "# H\n\nSee [a](b) [[N#h|n]] *c*\n\n```\nx\n```", "H\n\nSee a n c"), (T.bad_title, None, True), (T.year, "around 1999-2001", "1999"),
         (T.note_id, "notes/A.md", "70d0a779e7c4af9593717963fc743acfe8c4b6c1"), (T.safe_snippet, "<b>x</b> <mark>y</mark> & z", "x <mark>y</mark> &amp; z"),
     ],
 )
@@ -37,7 +37,7 @@ def test_section_id(spark):
 
 
 def test_language(spark):
-    for text, code in (("Wstępna propozycja projektu badawczego", "pol"), ("the cat and the dog in the house of the king", "eng"), ("xyz", None)):
+    for text, code in (("Wstępna propozycja projektu badawczego", "pol"), ("Raport dla praktykow prawa oraz podmiotow prawnych", "pol"), ("the cat and the dog in the house of the king", "eng"), ("xyz", None)):
         assert one(spark, lambda c: T.language(F.lit(None).cast("string"), c), text) == code
     assert T.select_languages(["eng", "pol", "osd"], "pl-PL")["languages"] == "pol+eng"
     assert T.select_languages(["eng", "osd"], "pl")["missing"] == "pol"
@@ -111,6 +111,9 @@ def test_diversity(spark):
 
 def test_folds():
     assert folds.merge_paragraphs([("paragraph", "It goes", 1), ("paragraph", "on.", 2), ("heading", "H", 2), ("paragraph", "New", 5), ("paragraph", "far", 9)]) == [("paragraph", "It goes on.", 1), ("heading", "H", 2), ("paragraph", "New", 5), ("paragraph", "far", 9)]
+    p = lambda *x: [(k, t, 1) for k, t in x]
+    assert folds.merge_paragraphs(p(("list_item", "a"), ("list_item", "b"))) == p(("list_item", "a"), ("list_item", "b")) and folds.merge_paragraphs(p(("paragraph", "End."), ("paragraph", "and on"))) == p(("paragraph", "End. and on"))
+    assert folds.merge_paragraphs(p(("list_item", "a;"), ("paragraph", "b"))) == p(("list_item", "a;"), ("paragraph", "b")) and folds.merge_paragraphs(p(("heading", "On the"), ("heading", "charter"))) == p(("heading", "On the charter"))
     assert folds.pack(["a" * 3000, "b" * 500, "c" * 3000]) == ["a" * 3000 + "\n\n" + "b" * 500, "c" * 3000]
     assert [len(x) for x in folds.pack(["x" * 30_000])] == [12_000, 12_000, 6_000] and folds.pack([]) == []
     units = folds.evidence_units("One two. Three! " + "w " * 900)
