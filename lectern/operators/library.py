@@ -12,10 +12,6 @@ from ..functions import text as T
 from ..session import table
 from ..skew import skew_join
 
-# Kinds of annotations that are read from pages.
-ANNOTATION_KINDS = ("Highlight", "Underline", "Squiggly", "StrikeOut", "Text", "FreeText", "Ink", "Square")
-
-
 def pivot_fields(values: DataFrame, key: str, field: str, value: str) -> DataFrame:
     """Entity-attribute-value rows to one map per entity; of several values of a field the smallest."""
     one = values.filter(F.col(field).isNotNull()).groupBy(key, field).agg(F.min(value).alias("v"))
@@ -52,7 +48,7 @@ def locate(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     j = skew_join(b, n, ["attachment_id"])
     rank = F.when(F.col("t").contains(F.col("n")), 0).when(F.col("t").contains(head(F.col("n"))) | F.col("t").contains(tail(F.col("n"))), 1).when(F.col("page").between(F.col("page_start"), F.col("page_end")), 2).otherwise(3)
     best = F.min(F.struct(rank.alias("r"), F.col("page_start"), F.col("block_id"))).alias("b")
-    return j.groupBy("key").agg(best, F.first("page").alias("page")).select("key", "b.block_id", F.when(F.col("b.r") < 2, F.col("b.page_start")).otherwise(F.coalesce("page", "b.page_start")).alias("page"))
+    return j.groupBy("key").agg(best, F.min("page").alias("page")).select("key", "b.block_id", F.when(F.col("b.r") < 2, F.col("b.page_start")).otherwise(F.coalesce("page", "b.page_start")).alias("page"))
 
 
 def validate_evidence(claimed: DataFrame, expected: DataFrame) -> DataFrame:
@@ -149,6 +145,17 @@ QUERIES = {
     "passage_locate": _passages,
     "field_pivot": lambda s, d: pivot_fields(table(s, d, "item_sources").select("item_id", F.explode(F.from_json("metadata_json", "map<string,string>")).alias("field", "value")), "item_id", "field", "value").select("item_id", F.to_json("fields").alias("fields")),
     "normalised_vectors": lambda s, d: table(s, d, "embeddings").select("vec_id", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm")).select("vec_id", F.round("norm", 6).alias("norm")),
-    "author_split": lambda s, d: table(s, d, "items").select("id", F.size(split_authors(F.col("title"))).alias("n")).distinct(),
+    "author_split": lambda s, d: table(s, d, "items").select("id", F.size(split_authors(F.array_join(T.creator_names(F.col("creators_json")), "; "))).alias("n")).distinct(),
+}
+from ..plans.text_queries import SQL as _TEXT_SQL  # noqa: E402
+
+_AUTHORS = f"SELECT key AS id, names AS n FROM ({_TEXT_SQL['creator_names']}) c"
+_LEVELS = range(1, 7)
+_LAST = ", ".join(f"last_value(CASE WHEN heading_level = {k} THEN {{'o': ordinal, 'h': heading}} END IGNORE NULLS) OVER w AS l{k}" for k in _LEVELS)
+_ALIVE = [f"CASE WHEN heading_level >= {k} AND l{k} IS NOT NULL AND l{k}.o > greatest({', '.join(['-1', *(f'coalesce(l{i}.o, -1)' for i in range(1, k))])}) THEN l{k}.h END" if k > 1 else "CASE WHEN heading_level >= 1 AND l1 IS NOT NULL THEN l1.h END" for k in _LEVELS]
+SQL = {
+    "normalised_vectors": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
+    "field_pivot": "SELECT item_id, '{' || coalesce(string_agg(to_json(k)::VARCHAR || ':' || coalesce(to_json(v)::VARCHAR, 'null'), ',' ORDER BY k), '') || '}' AS fields FROM (SELECT item_id, k, min(v) AS v FROM (SELECT item_id, k, json_extract_string(metadata_json, '$.\"' || k || '\"') AS v FROM (SELECT *, unnest(json_keys(metadata_json)) AS k FROM item_sources WHERE metadata_json IS NOT NULL)) GROUP BY item_id, k) GROUP BY item_id",
+    "heading_paths": f"SELECT section_id, array_to_string(list_filter([{', '.join(_ALIVE)}], lambda x: x IS NOT NULL), ' › ') AS path FROM (SELECT *, {_LAST} FROM (SELECT DISTINCT section_id, note_id, ordinal, heading, heading_level FROM obsidian_sections) s WINDOW w AS (PARTITION BY note_id ORDER BY ordinal, section_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    "author_split": "SELECT DISTINCT id, len(list_filter(list_transform(p, lambda x: trim(x, ' ')), lambda x: x <> ''))::INTEGER AS n FROM (SELECT id, CASE WHEN len(regexp_split_to_array(regexp_replace(n, '\\s+(and|und|et|i)\\s+', ';', 'g'), '\\s*;\\s*')) > 1 THEN regexp_split_to_array(regexp_replace(n, '\\s+(and|und|et|i)\\s+', ';', 'g'), '\\s*;\\s*') ELSE regexp_split_to_array(n, '\\s*,\\s*') END[1:30] AS p FROM (" + _AUTHORS + ") a) b",
 }
-SQL = {"normalised_vectors": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings"}

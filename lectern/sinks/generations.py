@@ -37,6 +37,30 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(Path(path), True)
 
 
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """Replace a small JSON file: written beside it first, so a reader finds the old or the new one."""
+    fs, Path = _fs(spark, path)
+    work = Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(work, True)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    fs.delete(Path(path), False)
+    if not fs.rename(work, Path(path)):
+        raise OSError(f"{path} could not be replaced")
+
+
+def read_json(spark: SparkSession, path: str):
+    """None where there is none or it can't be read; one that can't be read is set aside, not overwritten."""
+    fs, Path = _fs(spark, path)
+    if not fs.exists(Path(path)):
+        return None
+    try:
+        return json.loads("".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    except (ValueError, PySparkException, Py4JJavaError):
+        fs.rename(Path(path), Path(f"{path}.quarantined-{uuid.uuid4().hex}"))
+        return None
+
+
 def token(manifest: dict) -> str:
     return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
 

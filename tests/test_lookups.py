@@ -46,3 +46,50 @@ def test_embed_and_pivot(spark):
     assert [(r["id"], r["fields"]) for r in p] == [(1, {"a": "b", "c": "d"})]
     assert L.ordered_children(spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "id long, o int, n string"), "id", "o", "n").first()["children"][0]["n"] == "a"
     assert spark.createDataFrame([("A B and C D; E",)], "x string").select(L.split_authors(F.col("x"))).first()[0] == ["A B", "C D", "E"]
+
+
+def test_lines_without_layout():
+    from lectern.operators import reading as R
+
+    assert [R.line_class(x) for x in ("CHARTERS OF THE TOWN", "On maps ....... 12", "12 14 15", "3 Lo, On the charter of the town and of all the courts and archives in it, 1990", "- a thing", "A sentence goes on", "1. Introduction")] == ["heading", "toc_entry", "table_row", "footnote", "list_item", "paragraph", "heading"]
+    text = "Running Title\n\nThe clerk saw the har-\nvest of the town.\n\nand more.\n\nNew one here.\n\n12\nTHE END"
+    assert R.line_blocks(text, ["Running Title"]) == [("paragraph", "The clerk saw the harvest of the town. and more."), ("paragraph", "New one here."), ("heading", "THE END")]
+    assert R.line_blocks(None, None) == [] and len(R.line_blocks("word and more.\n" * 400, None)) == 13  # 31 lines reach LEAST
+
+
+def test_runs(spark, tmp_path):
+    from lectern.operators import reading as R
+    from lectern.sinks import generations as G
+
+    assert R.stages(False, True)[:2] == ["empty_library", "vault"] and "vault" not in R.stages(True, False) and R.stages(True, True)[-1] == "publish"
+    with pytest.raises(ValueError):
+        R.stages(False, False)
+    assert R.registry(["a", "b"], ["b", "c", "", " d e "]) == ["a", "b", "c"]
+    seen, path = [], str(tmp_path / "queue.json")
+
+    def embed(model):
+        if model == "b" and len(seen) == 1:
+            seen.append("fails")
+            raise OSError
+        seen.append(model)
+
+    with pytest.raises(OSError):
+        R.Queue(spark, path).run(["a", "b", "c", "b"], embed)
+    assert R.Queue(spark, path).left() == ["b", "c"] and R.Queue(spark, path).run(["x"], embed) == ["b", "c"] and R.Queue(spark, path).left() == []
+    (tmp_path / "bad.json").write_text("{")
+    assert G.read_json(spark, str(tmp_path / "bad.json")) is None and not (tmp_path / "bad.json").exists()
+
+
+def test_annotations_and_universe(spark):
+    from lectern.operators import reading as R
+    from lectern.operators import resolve as E
+
+    a = spark.createDataFrame([(1, 1, 1, "Highlight", "x", None), (2, 1, 1, "Highlight", "x", None), (3, 1, 1, "Link", "x", None), (4, 1, 1, "Text", " ", "")], "id long, attachment_id long, page_number int, annotation_type string, text string, comment string")
+    assert [r["id"] for r in R.page_annotations(a).collect()] == [1]
+    items = spark.createDataFrame([(1, "book"), (2, "note"), (3, "book"), (4, None)], "id long, item_type string")
+    files = spark.createDataFrame([(10, None), (11, 1), (12, None)], "id long, parent_id long")
+    gone = spark.createDataFrame([(3,), (12,)], "id long")
+    assert sorted((r["id"], r["item_type"]) for r in E.universe(items, files, gone).collect()) == [(-10, "standaloneAttachment"), (1, "book"), (4, None)]
+    row = lambda **x: E.dedupe_key(lambda c: F.lit(x.get(c)).cast("string"))
+    keys = spark.range(1).select(row(id="1", doi="10.1/X", isbn="9").alias("a"), row(id="1", isbn="978-3").alias("b"), row(id="1", title="T").alias("c"), row(id="1", title="T", date_created="May 1990", creators_json='[{"lastName":"Lo"}]').alias("d"), row(id="1", doi="10.1/X", item_type="standaloneAttachment").alias("e")).first()
+    assert tuple(keys) == ("doi:101x", "isbn:9783", "id:1", "title:t|1990|lo", "id:1")
