@@ -163,3 +163,8 @@ SQL |= {
     "inline_tags": f"SELECT DISTINCT note_id AS key, array_to_string({_once('t', '{}')}, ',') AS tags FROM (SELECT note_id, regexp_extract_all({_BARE}, '{_TAG}', 1) AS t FROM obsidian_notes)",
     "note_links": "SELECT key, pos, embed, target, heading, display FROM (SELECT key, generate_subscripts(g1, 1)::INTEGER - 1 AS pos, unnest(g1) = '!' AS embed, trim(unnest(g2), ' ') AS target, coalesce(trim(unnest(g3), ' '), '') AS heading, coalesce(trim(unnest(g4), ' '), '') AS display FROM (SELECT note_id AS key, " + ", ".join(f"regexp_extract_all(markdown, '{_LINK}', {i}) AS g{i}" for i in (1, 2, 3, 4)) + " FROM (SELECT DISTINCT note_id, markdown FROM obsidian_notes)))",
 }
+_SNIP = "replace(replace(replace(note_html, 'b>', 'mark>'), '<mark>', chr(1)), '</mark>', chr(2))"
+SQL |= {
+    "entity_unescape_all": _sql("notes", "id", plain=_unescape("note_html")),
+    "safe_snippet": _sql("notes", "id", snippet=f"replace(replace(replace(replace(replace(regexp_replace({_SNIP}, '<[^>]*>', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(1), '<mark>'), chr(2), '</mark>')"),
+}
